@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, repeat_spans
+from . import line_dedup, mixing, ngram_join, packing, repeat_spans
 from .common import table
 
 
@@ -14,13 +15,28 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.mix(table(spark, sf_dir, "documents"))
+    rounded = [F.round(c, 6).alias(c) for c in ("weight", "probability")]
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "tokens", *rounded, "sampled")
+
+
+def op7_line_alignment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "removed_lines", "removed_bytes", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_spans.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_best_fit_packing, op6_mix_to_targets, op7_line_alignment_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix_to_targets": mixing.sql()}
