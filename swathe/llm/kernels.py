@@ -90,13 +90,13 @@ def chunks(offs: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs without white space, and for each text its first word's index.
 
     ``offs`` begins at 0; words never cross texts.
     """
     n = len(data)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     cut = np.zeros(n + 1, bool)
     cut[offs] = True
     before = np.zeros(n, bool)
