@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,24 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return spark.createDataFrame([], "node long, comp long")
     return materialize(labels, "labels")
+
+
+BITS = 22
+
+
+def id_filter(ids: DataFrame, column: str) -> bytes:
+    """A bitmap of 2**BITS bits (fixed size) of the hashed ids: rows that ``in_filter`` drops are
+    certainly not among them."""
+    slot = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - BITS)
+    rows = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = bytearray((1 << BITS) // 8 + 4096)
+    for row in rows.collect():  # 2**BITS bits at most
+        at = (row.part - 1) * 4096 if row.part > 0 else 0
+        out[at : at + len(row.bits)] = bytes(x | y for x, y in zip(out[at : at + len(row.bits)], row.bits, strict=True))
+    return bytes(out)
+
+
+def filter_slot(column: str) -> Column:
+    """Byte and bit of a row's id in ``id_filter``'s bitmap, as one number."""
+    slot = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - BITS)
+    return ((F.bitmap_bucket_number(slot) - 1) * 32768 + F.bitmap_bit_position(slot)).cast("long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, materialize
+from .common import components, filter_slot, id_filter, materialize
 
 SKETCH_BITS = 22
 BLOCK_BITS = 12
@@ -242,11 +242,14 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
     """The pairs (a, b) of set names whose whole sets reach the threshold."""
 
     def sets(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array(bits[slot >> 3] >> (slot & 7) & 1 > 0))
             out = []
             for _, found in _sets(batch, k):
                 out += [s.tobytes() for s in found]
-            yield pa.RecordBatch.from_pydict({"sig": batch.column("sig"), "members": pa.array(out, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "members": pa.array(out, pa.binary())})
 
     def compare(batches):
         for batch in batches:
@@ -263,10 +266,11 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
 
     if pairs.isEmpty():
         return pairs.sparkSession.createDataFrame([], "a long, b long")
-    # Written first, so that Spark knows its size: a few wanted texts are then found without dealing all texts.
     wanted = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(where, "sig"), "wanted")
-    texts = docs.join(wanted, "doc_id").select("sig", "text")
-    store = materialize(texts.mapInArrow(sets, "sig long, members binary").dropDuplicates(["sig"]), "sets")
+    # A bitmap of fixed size keeps most texts that no pair needs from being dealt.
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
+    made = docs.where("doc_id is not null").withColumn("slot", filter_slot("doc_id")).mapInArrow(sets, "doc_id long, members binary")
+    store = materialize(made.join(wanted, "doc_id").select("sig", "members").dropDuplicates(["sig"]), "sets")
     left = store.select(F.col("sig").alias("a"), F.col("members").alias("ma"))
     right = store.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
     return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, repeat_spans, toxicity
+from . import chat, line_dedup, mixing, ngram_join, packing, repeat_spans, toxicity
 from .common import table
 
 
@@ -30,6 +30,13 @@ def op7_line_alignment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "removed_lines", "removed_bytes", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    fixed = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_conversations(chat.events_of(rows.union(fixed))))
+
+
 def op9_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return docs.select("doc_id", "held_out", "score", "predicted")
@@ -40,7 +47,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_best_fit_packing, op6_mix_to_targets, op7_line_alignment_dedup, op9_deobfuscated_toxicity, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_best_fit_packing, op6_mix_to_targets, op7_line_alignment_dedup, op8_event_sourced_chat, op9_deobfuscated_toxicity, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
