@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, ngram_join, packing, repeat_spans, toxicity
+from . import chat, html_extract, line_dedup, mixing, ngram_join, packing, repeat_spans, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.mix(table(spark, sf_dir, "documents"))
     rounded = [F.round(c, 6).alias(c) for c in ("weight", "probability")]
@@ -47,7 +51,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_best_fit_packing, op6_mix_to_targets, op7_line_alignment_dedup, op8_event_sourced_chat, op9_deobfuscated_toxicity, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_best_fit_packing, op5_wrapper_induction, op6_mix_to_targets, op7_line_alignment_dedup, op8_event_sourced_chat, op9_deobfuscated_toxicity, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
