@@ -42,7 +42,7 @@ SPAN = LENGTH - GRAM + 1
 SKETCH_BITS = 20
 #: A bucket is hot from so many rows on, and from so many times the mean.
 HOT_ROWS, HOT_FACTOR = 2048, 8
-PIECE = 1 << 21
+PIECE = 1 << 19
 NO_ID = -(1 << 63)
 U = np.uint64
 ROW = "kind int, key long, name long, doc long, ver int, lo int, span int"
@@ -95,7 +95,7 @@ def _runs(batch: pa.RecordBatch):
     doc = batch.column("doc").to_numpy()
     ver = batch.column("ver").to_numpy()
     data, offs = K.strings(batch.column("text"))
-    for lo, hi in K.chunks(offs):
+    for lo, hi in K.chunks(offs, PIECE):
         yield doc[lo:hi], ver[lo:hi], anchors(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
 
 
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     seen = materialize(rows.repartition("key").sortWithinPartitions("key", "name", "doc", "ver", "lo").mapInArrow(settle, ROW), "seen")
 
     def cut_out(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             data, offs = K.strings(batch.column("text"))
             at = batch.column("runs")
             parts = at.flatten()
@@ -204,17 +204,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             lo, span = parts.field("lo").to_numpy(), parts.field("span").to_numpy()
             s = offs[owner] + lo
             e = s + (span >> 8) + LENGTH - 1
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": parts.field("key"),
-                    "doc": batch.column("doc").to_numpy()[owner],
-                    "ver": batch.column("ver").to_numpy()[owner],
-                    "lo": lo,
-                    "span": span,
-                    "bytes": pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()),
-                }
-            )
+            raw = memoryview(np.ascontiguousarray(data))
+            doc, ver = batch.column("doc").to_numpy()[owner], batch.column("ver").to_numpy()[owner]
+            for i in range(0, len(owner), 4096):
+                p = slice(i, i + 4096)
+                found = pa.array([bytes(raw[x:y]) for x, y in zip(s[p].tolist(), e[p].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"key": parts.field("key")[p], "doc": doc[p], "ver": ver[p], "lo": lo[p], "span": span[p], "bytes": found})
 
     def sort_buckets(batches):
         held: list[pa.RecordBatch] = []
@@ -223,7 +218,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if batch is not None:
                 held.append(batch)
                 size += batch.nbytes
-                if size < 4 << 20:
+                if size < 1 << 20:
                     continue
             if not held:
                 return
@@ -247,7 +242,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gone = gone.groupBy("doc", "ver").agg(F.collect_list(F.struct("lo", "size")).alias("gone"))
 
     def apply(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             data, offs = K.strings(batch.column("text"))
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             for i, gaps in enumerate(batch.column("gone")):
