@@ -248,7 +248,7 @@ def generate_waypoints(
     df = df.withColumn("seq", F.row_number().over(order) - 1)
     if time_budget is not None:
         spent = F.sum(F.try_divide(F.col("step"), F.col("speed"))).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-        df = df.where(F.coalesce(spent, F.lit(0.0)) < time_budget)
+        df = df.withColumn("_spent", F.coalesce(spent, F.lit(0.0))).where(F.col("_spent") < time_budget).drop("_spent")
     if smoothing > 1:
         df = df.withColumn("speed", F.avg("speed").over(Window.orderBy("seq").rowsBetween(-(smoothing // 2), smoothing // 2)))
     return df.select("seq", "x", "y", F.lit(float(altitude)).alias("altitude"), "speed", "line_id")
