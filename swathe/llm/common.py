@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,19 +78,23 @@ def components(edges: DataFrame) -> DataFrame:
 BITS = 22
 
 
-def id_filter(ids: DataFrame, column: str) -> bytes:
-    """A bitmap of 2**BITS bits (fixed size) of the hashed ids: rows that ``in_filter`` drops are
-    certainly not among them."""
-    slot = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - BITS)
-    rows = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = bytearray((1 << BITS) // 8 + 4096)
-    for row in rows.collect():  # 2**BITS bits at most
-        at = (row.part - 1) * 4096 if row.part > 0 else 0
-        out[at : at + len(row.bits)] = bytes(x | y for x, y in zip(out[at : at + len(row.bits)], row.bits, strict=True))
-    return bytes(out)
+def split_by_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may be among ``ids``, and those that certainly are not.
 
-
-def filter_slot(column: str) -> Column:
-    """Byte and bit of a row's id in ``id_filter``'s bitmap, as one number."""
-    slot = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - BITS)
-    return ((F.bitmap_bucket_number(slot) - 1) * 32768 + F.bitmap_bit_position(slot)).cast("long")
+    A bitmap of 2**BITS hashed ids tells them apart (half a megabyte, whatever the sizes), so that
+    texts which no later join needs are not dealt. Rows with a null id are in the second part.
+    """
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(F.col(c).cast("long")), 64 - BITS)
+    bits = (
+        ids.select(slot(column).alias("_slot"))
+        .groupBy(F.bitmap_bucket_number("_slot").alias("_part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+        .collect()  # 2**BITS bits at most
+    )
+    table = df.sparkSession.createDataFrame([(r[0], r[1]) for r in bits], "_part long, _bits binary")
+    at = F.bitmap_bit_position(slot(column))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    bit = (byte / F.pow(F.lit(2), at % 8)).cast("int") % 2
+    joined = df.withColumn("_part", F.when(F.col(column).isNotNull(), F.bitmap_bucket_number(slot(column)))).join(F.broadcast(table), "_part", "left")
+    joined = joined.withColumn("_listed", F.coalesce(bit == 1, F.lit(False)))
+    return joined.where("_listed").select(*df.columns), joined.where("not _listed").select(*df.columns)

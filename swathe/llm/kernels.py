@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INV = U(pow(int(BASE), -1, 1 << 64))
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240501)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, filter_slot, id_filter, materialize
+from .common import components, materialize, split_by_ids
 
 SKETCH_BITS = 22
 BLOCK_BITS = 12
@@ -60,7 +60,7 @@ def frequency_classes(docs: DataFrame, k: int) -> bytes:
         for batch in batches:
             for _, sets in _sets(batch, k):
                 if sets:
-                    total += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+                    np.add.at(total, (np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         if total.any():
             parts = total.reshape(-1, 1 << BLOCK_BITS)
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "counts": [zlib.compress(x.tobytes(), 1) for x in parts]})
@@ -209,19 +209,20 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
     comp = done = None
     for step, slots in enumerate((PIVOTS, MORE_PIVOTS, MORE_PIVOTS, None)):
         if comp is None:
-            every = tokens.withColumn("comp", F.col("sig")).withColumn("major", F.lit(None).cast("long"))
-        else:
-            known = tokens.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-            parts = known.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("parts"))
-            every = materialize(known.join(parts.where("parts > 1").select("token", "major"), "token"), "spread")
-        minor = every if comp is None else every.where("comp <> major")
+            every = tokens.withColumn("comp", F.col("sig")).withColumn("major", F.lit(False))
+            minor = every
+        else:  # a token that has come to lie in one component stays so: only the last step's tokens are looked at
+            every = every.drop("comp", "major").join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+            parts = every.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("parts"))
+            every = materialize(every.join(parts.where("parts > 1").select("token", "top"), "token").withColumn("major", F.col("comp") == F.col("top")).drop("top"), "spread")
+            minor = every.where("not major")
         against = every
         if slots:
             slot = F.pmod(F.xxhash64("sig", F.lit(step)), F.lit(slots))
             against = every.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("sig", "n", "pos", "comp", "major")).alias("p")).select("token", "p.*")
         cross = side("a", minor).join(side("b", against), "token").where("ca <> cb")
         if not slots:  # a pair of two minor members comes once
-            cross = cross.where("cb = ja or sa < sb")
+            cross = cross.where("jb or sa < sb")
         found = pairs_of(cross)
         found = materialize(found if done is None else found.join(done, ["a", "b"], "left_anti"), "pairs")
         done = found if done is None else done.union(found)
@@ -242,10 +243,7 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
     """The pairs (a, b) of set names whose whole sets reach the threshold."""
 
     def sets(batches):
-        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array(bits[slot >> 3] >> (slot & 7) & 1 > 0))
             out = []
             for _, found in _sets(batch, k):
                 out += [s.tobytes() for s in found]
@@ -267,10 +265,8 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
     if pairs.isEmpty():
         return pairs.sparkSession.createDataFrame([], "a long, b long")
     wanted = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(where, "sig"), "wanted")
-    # A bitmap of fixed size keeps most texts that no pair needs from being dealt.
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
-    made = docs.where("doc_id is not null").withColumn("slot", filter_slot("doc_id")).mapInArrow(sets, "doc_id long, members binary")
-    store = materialize(made.join(wanted, "doc_id").select("sig", "members").dropDuplicates(["sig"]), "sets")
+    made = split_by_ids(docs, wanted)[0].mapInArrow(sets, "doc_id long, members binary")
+    store = materialize(made.join(wanted.hint("merge"), "doc_id").select("sig", "members").dropDuplicates(["sig"]), "sets")
     left = store.select(F.col("sig").alias("a"), F.col("members").alias("ma"))
     right = store.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
     return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")
