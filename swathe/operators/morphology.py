@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components as connected
 from .raster import grid_cells
 from .stats import QUEEN, ROOK
 
@@ -17,32 +18,12 @@ def _shifted(mask: DataFrame, shifts: Sequence[tuple[int, int]], *more: str) ->
 
 
 def components(mask: DataFrame, width: int, neighbours: Sequence[tuple[int, int]] = QUEEN) -> DataFrame:
-    """(row, col, component): the smallest cell number of each connected component.
-
-    Labels spread to neighbours and jump to their label's label, so long components take a
-    logarithmic number of rounds; every second round the labels are checkpointed (or persisted
-    where no checkpoint folder is set)."""
+    """(row, col, component): the smallest cell number of each connected component."""
     cell = (F.col("row").cast("long") * width + F.col("col")).alias("cell")
     cells = mask.select("row", "col", cell).distinct()
-    edges = _cut(_shifted(cells, neighbours, F.col("cell").alias("a")).join(cells.withColumnRenamed("cell", "b"), ["row", "col"]).select("a", "b"))
-    labels = cells.select("cell", F.col("cell").alias("l"))
-    while True:
-        near = edges.join(labels.withColumnRenamed("cell", "b"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("l").alias("m"))
-        new = labels.join(near, "cell", "left").select("cell", "l", F.least("l", "m").alias("n"))
-        # the label of the label: a cell number itself
-        jump = new.select(F.col("cell").alias("n"), F.col("n").alias("j"))
-        new = _cut(new.join(jump, "n", "left").select("cell", "l", F.least("n", "j").alias("n")))
-        moved = not new.where("n < l").limit(1).isEmpty()
-        labels = new.select("cell", F.col("n").alias("l"))
-        if not moved:
-            break
-    return labels.select(F.floor(F.col("cell") / width).cast("int").alias("row"), (F.col("cell") % width).cast("int").alias("col"), F.col("l").alias("component"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    edges = _shifted(cells, neighbours, F.col("cell").alias("a")).join(cells.withColumnRenamed("cell", "b"), ["row", "col"]).select("a", "b").where("a < b")
+    found = connected(edges).withColumnRenamed("node", "cell")
+    return cells.join(found, "cell", "left").select("row", "col", F.coalesce("comp", "cell").alias("component"))
 
 
 def remove_small_components(mask: DataFrame, width: int, min_cells: int, neighbours: Sequence[tuple[int, int]] = QUEEN) -> DataFrame:
