@@ -2,77 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..session import materialize, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests, a single machine) a local folder is used.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{tempfile.gettempdir()}/checkpoints"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the files' readers nothing but a re-read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["components", "materialize", "shared_dir", "split_by_ids", "table"]
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph ``edges(a, b)``: one row (node, comp) per
-    node with an edge, ``comp`` being the smallest node of its component.
 
-    Each round lets every node point at its smallest neighbour and contracts the graph along
-    these pointers, until no edge is left. Edges, pointers and labels stay distributed; every
-    aggregation has map-side partial results, so that a hub costs one row per task.
-    """
-    spark = edges.sparkSession
-    live = materialize(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    labels = None
-    while not live.isEmpty():
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = materialize(
-            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p")), "hop"
-        )
-        if labels is None:
-            labels = hop.select("node", F.col("p").alias("comp"))
-        else:
-            to = hop.select(F.col("node").alias("comp"), "p")
-            labels = labels.join(to, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
-        left = hop.select(F.col("node").alias("a"), F.col("p").alias("pa"))
-        right = hop.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        live = materialize(
-            live.join(left, "a")
-            .join(right, "b")
-            .where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .distinct(),
-            "edges",
-        )
-    if labels is None:
-        return spark.createDataFrame([], "node long, comp long")
-    return materialize(labels, "labels")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 BITS = 22
