@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize
+from .common import materialize, split_by_ids
 
 RARE = 8
 MIN_BYTES = 20
@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_bytes: int = MIN_BYTES) -
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     out.append(h[a:b].tobytes())
                     sizes.append((ends[a:b] - starts[a:b]).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc_id"), "h": pa.array(out, pa.binary()), "size": pa.array(sizes, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": pa.array(out, pa.binary()), "size": pa.array(sizes, pa.binary())})
 
     def align(batches):
         for batch in batches:
@@ -174,15 +174,14 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_bytes: int = MIN_BYTES) -
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(late, pa.int64()), "gone": pa.array(gone, pa.list_(pa.int32())), "version": pa.array(texts, pa.int64())})
 
     wanted = materialize(pairs.select(F.col("early").alias("doc_id")).union(pairs.select("late")).distinct(), "wanted")
-    store = materialize(known.join(wanted, "doc_id").mapInArrow(lines, "doc long, h binary, size binary").distinct(), "lines")
+    made = split_by_ids(known, wanted)[0].mapInArrow(lines, "doc_id long, h binary, size binary")
+    store = materialize(made.join(wanted.hint("merge"), "doc_id").withColumnRenamed("doc_id", "doc").distinct(), "lines")
     left = store.select(F.col("doc").alias("early"), F.col("h").alias("ha"))
     right = store.select(F.col("doc").alias("late"), F.col("h").alias("hb"), "size")
     cut = pairs.join(right, "late").join(left, "early").mapInArrow(align, "doc_id long, gone array<int>, version long")
     cut = cut.select("doc_id", "version", F.explode("gone").alias("line")).distinct()
-    cut = materialize(cut.groupBy("doc_id", "version").agg(F.collect_list("line").alias("gone")), "cut")
-    cut = cut.groupBy("doc_id").agg(F.collect_list(F.struct("version", "gone")).alias("_cut"))
-
-    at = docs.columns.index("text")
+    cut = cut.groupBy("doc_id", "version").agg(F.collect_list("line").alias("gone"))
+    cut = materialize(cut.groupBy("doc_id").agg(F.collect_list(F.struct("version", "gone")).alias("_cut")), "cut")
 
     def shorten(batches):
         for batch in batches:
@@ -209,7 +208,10 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_bytes: int = MIN_BYTES) -
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.int64()) for c in count)], names)
 
     kept = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "removed_bytes")]
-    joined = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in kept]).join(cut, "doc_id", "left").select(*kept, "_cut")
+    typed = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in kept])
+    changed, unchanged = split_by_ids(typed, cut)
+    joined = changed.join(cut.hint("merge"), "doc_id", "left").select(*kept, "_cut")
+    joined = joined.union(unchanged.withColumn("_cut", F.lit(None).cast(joined.schema["_cut"].dataType)))
     at = kept.index("text")
     schema = ", ".join(f"`{c}` {t}" for c, t in joined.drop("_cut").dtypes)
     return joined.mapInArrow(shorten, f"{schema}, n_lines long, removed_lines long, removed_bytes long")
