@@ -125,10 +125,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     repeated = ids.groupBy("doc").count().where("count > 1").limit(1)
     if repeated.isEmpty():
-        ids = ids.select("doc", F.lit(0).alias("ver"), "text")
+        ids = once = ids.select("doc", F.lit(0).alias("ver"), "text")
     else:
         ids = ids.select("doc", (F.dense_rank().over(Window.partitionBy("doc").orderBy("text")) - 1).alias("ver"), "text")
-    shared = ids.sparkSession.sparkContext.broadcast(hot_buckets(ids))
+        once = ids.dropDuplicates(["doc", "ver"])
+    shared = ids.sparkSession.sparkContext.broadcast(hot_buckets(once))
 
     def emit(batches):
         hot = np.frombuffer(shared.value, np.uint8)
@@ -192,7 +193,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pydict(_row(kind, *(r[c][which] for c in ("key", "name", "doc", "ver", "lo", "span"))))
             held = {c: x[cut:] for c, x in rows.items()}
 
-    rows = ids.mapInArrow(emit, ROW)
+    rows = once.mapInArrow(emit, ROW)
     seen = materialize(rows.repartition("key").sortWithinPartitions("key", "name", "doc", "ver", "lo").mapInArrow(settle, ROW), "seen")
 
     def cut_out(batches):
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ends = seen.where("kind = 2").groupBy("doc", "ver").agg(F.collect_list(F.struct("key", "lo", "span")).alias("runs"))
     found = (
-        ids.join(ends, ["doc", "ver"])
+        once.join(ends, ["doc", "ver"])
         .mapInArrow(cut_out, "key long, doc long, ver int, lo int, span int, bytes binary")
         .repartition("key")
         .sortWithinPartitions("key", "doc", "ver", "lo")
