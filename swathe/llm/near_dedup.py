@@ -35,8 +35,9 @@ from .vectors import matrix, packed
 THRESHOLD = 0.98
 SAMPLE = 16384
 MOST_CENTROIDS = 1024
-CLUSTER = 1000
-BLOCK = 1024
+#: Vectors of the largest label per centroid: with the overlap a shard has about three times as many.
+CLUSTER = 256
+BLOCK = 1280
 OVERLAP, SLACK, MOST = 3, 0.05, 4
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
 AUDIT = 64
