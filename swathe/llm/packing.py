@@ -28,9 +28,10 @@ from . import kernels as K
 from .common import materialize
 
 CAPACITY = 2048
+U = np.uint64
 END = 1
-#: Words that a worker remembers; it starts anew beyond.
-REMEMBERED = 1 << 18
+#: Words that a worker remembers, in about 30 bytes each; it starts anew beyond.
+REMEMBERED = 1 << 21
 
 
 class RoomTree:
@@ -91,19 +92,71 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     return plan
 
 
-def tokenise(docs: DataFrame, vocabulary: str, capacity: int, end: int) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens) of each document's ids."""
+class WordTable:
+    """The ids of the words met so far, in arrays: sorted word hashes, and where their ids lie.
 
-    def pieces(batches):
+    A worker keeps one for each vocabulary, so later tasks find most of their words in it.
+    """
+
+    kept: dict[str, WordTable] = {}
+
+    def __init__(self, vocabulary: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        known: dict[int, int] = {}
-        pool: list[np.ndarray] = []
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.clear()
+
+    @classmethod
+    def of(cls, vocabulary: str) -> WordTable:
+        if vocabulary not in cls.kept:
+            cls.kept[vocabulary] = cls(vocabulary)
+        return cls.kept[vocabulary]
+
+    def clear(self) -> None:
+        self.names = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def ids(self, name: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For words (sorted distinct hashes, and their bytes): begin, size and the ids."""
+        if len(self.names) > REMEMBERED:
+            self.clear()
+        at = np.searchsorted(self.names, name)
+        new = np.flatnonzero((at == len(self.names)) | (np.append(self.names, U(0))[at] != name))
+        for a in range(0, len(new), 1 << 15):
+            self.learn(name[new[a : a + (1 << 15)]], start[new[a : a + (1 << 15)]], end[new[a : a + (1 << 15)]], data)
+        at = np.searchsorted(self.names, name)
+        return self.begin[at], self.size[at], self.flat
+
+    def learn(self, name, start, end, data) -> None:
+        """Encodes new words in one text; a token belongs to the word it begins in, as no token
+        crosses white space."""
+        raw = memoryview(np.ascontiguousarray(data))
+        words = [str(raw[a:b], "utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        first = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+        owner = np.searchsorted(first, np.array([o[0] for o in found.offsets], np.int64), "right") - 1
+        size = np.bincount(owner, minlength=len(words))
+        need = self.used + len(found.ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), need), np.uint32)])
+        self.flat[self.used : need] = found.ids
+        to = np.searchsorted(self.names, name)
+        self.begin = np.insert(self.begin, to, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, to, size)
+        self.names = np.insert(self.names, to, name)
+        self.used = need
+
+
+def tokenise(docs: DataFrame, vocabulary: str, capacity: int, end: int) -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens) of each document's ids."""
+
+    def pieces(batches):
+        table = WordTable.of(vocabulary)
         for batch in batches:
             ids = batch.column("doc_id")
             data, offs = K.strings(batch.column("text"))
@@ -112,25 +165,12 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int, end: int) -> DataF
                 starts, ends, first = K.words(part, offs[lo : hi + 1] - offs[lo])
                 # No token crosses white space, so each distinct word is encoded once.
                 name, at, word = np.unique(K.span_hash(K.prefix(part), starts, ends), return_index=True, return_inverse=True)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    pool.clear()
-                names = name.tolist()
-                new = [i for i, x in enumerate(names) if x not in known]
-                if new:
-                    raw = part.tobytes()
-                    found = tokenizer.encode_batch([raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-                    for i, x in zip(new, found, strict=True):
-                        known[names[i]] = len(pool)
-                        pool.append(np.array(x.ids, np.uint32))
-                table = [*(pool[known[x]] for x in names), np.array([end], np.uint32)]
-                size = np.array([len(x) for x in table])
-                flat = np.concatenate(table)
-                begin = np.cumsum(size) - size
-                word = np.insert(word, first[1:], len(names))  # the end token after each document
-                n = size[word]
+                begin, size, flat = table.ids(name, starts[at], ends[at], part)
+                word = np.insert(word, first[1:], len(name))  # the end token after each document
+                n = np.append(size, 1)[word]
                 total = np.cumsum(n)
-                tokens = flat[np.repeat(begin[word] - (total - n), n) + np.arange(total[-1])] if len(word) else flat[:0]
+                tokens = flat[np.repeat(np.append(begin, 0)[word] - (total - n), n) + np.arange(total[-1])]
+                tokens[total[first[1:] + np.arange(hi - lo)] - 1] = end
                 stop = total[first[1:] + np.arange(hi - lo)]
                 view = memoryview(np.ascontiguousarray(tokens).view(np.uint8))
                 out: tuple[list, ...] = ([], [], [], [], [])
