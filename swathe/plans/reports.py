@@ -110,7 +110,8 @@ def cr_by_return(stats: DataFrame) -> DataFrame:
     cols = {"Return": return_label(F.col("ret")), "Cover": cover_label(F.col("cover")), "Mission": mission_label(F.col("mission"))}
     if "kernel" in stats.columns:
         cols["Kernel"] = kernel_label(F.col("kernel"))
-    return stats.withColumns(cols).orderBy(*cols)
+    rest = [c for c in stats.columns if c.lower() not in {n.lower() for n in cols}]
+    return stats.select(*[c.alias(n) for n, c in cols.items()], *rest).orderBy(*cols)
 
 
 def mean_against_cr(stats: DataFrame) -> DataFrame:

@@ -116,3 +116,25 @@ def test_sections_of_percent_densities(spark, tmp_path):
     f.write_text("Coniferous,,\nMission,Return,0\nDensity-aware,Ground,4.08\nField,,\nMission,Return,0\nConst 2 m/s,All,1.5\n")
     rows = tables.read_percent_densities(spark, str(f)).collect()
     assert [(r.Section, r.cells["0"]) for r in rows] == [("Coniferous", "4.08"), ("Field", "1.5")]
+
+
+def test_compositions(spark, tmp_path):
+    counts = spark.createDataFrame([(ret, "field", m, "NA", r, c, 1 + (r + c) % 3) for ret in ("all", "ground") for m in ("density", "const2") for r in range(6) for c in range(6) if ret == "all" or r % 2], "ret string, cover string, mission string, kernel string, row int, col int, n int")
+    sizes = spark.createDataFrame([("field", 36)], "cover string, N long")
+    table = survey.summarize_counts(counts, sizes).collect()
+    assert [(r.Return, r.Mission, r.CR) for r in table] == [("All", "Const 2 m/s", 1.0), ("All", "Density-aware", 1.0), ("Ground", "Const 2 m/s", 0.5), ("Ground", "Density-aware", 0.5)]
+    from swathe.operators import bootstrap
+
+    got = survey.inference(counts, 6, 6, bootstrap.narrative_comparisons(spark), sizes, nboot=20)
+    assert got["intervals"].count() == 4 and got["differences"].count() == 2
+    classes = spark.createDataFrame([(r, c, "field") for r in range(4) for c in range(4)], "row int, col int, cover string")
+    pts = spark.createDataFrame([("m", "NA", 100 + c + 0.5, 200 - r - 0.5, 0.0, 2) for r in range(4) for c in range(4)], "mission string, kernel string, x double, y double, z double, cls int")
+    out = survey.lidar_counts(pts, classes, GT, 4, 4)
+    assert {r.CR for r in out["statistics"].collect()} == {1.0} and out["densities"].count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from swathe.__main__ import main
+
+    (tmp_path / "run.toml").write_text("[planning]\nvmin = 2.0\n")
+    assert main(str(tmp_path / "run.toml")) == 0 and "skipped" in capsys.readouterr().out
