@@ -15,6 +15,7 @@ from ..functions import expressions as X
 from ..operators import bootstrap, coverage, features, kde, linescan, morphology, planner, raster, stats, strata
 from ..operators import trajectory as T
 from ..streaming import sessions
+from . import reports
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -817,3 +818,135 @@ select mission, min(time) as started, max(time) as last, count(*) as samples fro
 )
 def gap_sessions(spark, d):
     return sessions.gap_sessions(V.table(spark, d, "events"), "event_type", "ts", "30 minutes").select(F.col("event_type").alias("mission"), "started", "last", "samples")
+
+
+# --- figure data and further expressions ------------------------------------------------------
+
+
+@query(_SURFACE + "\n--\nselect kde_class, case kde_class when 1 then 'field' when 2 then 'deciduous' else 'coniferous' end as label, count(z) as ncells, 8640 as total from (select unnest([1, 2, 3]) as kde_class) k left join (select z, case when z <= 0.15 then 1 when z <= 0.55 then 2 else 3 end as kc from surf) s on kc = kde_class group by all", "label", "", "kde_class ncells total")
+def class_support(spark, d):
+    return strata.class_support(strata.assign_classes(_surface(spark, d), strata.Manual(0.15, 0.55)))
+
+
+@query(_SURFACE + _ALLHITS + "\n--\nselect ms.mission, count(h.r) / count(*) as weighted_cr from surf s cross join ms left join hits h on h.mission = ms.mission and h.r = s.r and h.c = s.c where s.cover = 'conif' group by all", "mission", "weighted_cr")
+def weighted_cr_check(spark, d):
+    return strata.weighted_cr_check(strata.strata_within_cover(_surface(spark, d), *_all(spark, d), V.classes(spark).where("cover = 'conif'")))
+
+
+@query(
+    """q as (select event_type as mission, quantile_cont(value, 0.25) as q1, median(value) as median, quantile_cont(value, 0.75) as q3, quantile_cont(value, 0.95) as p95, min(value) as lo, max(value) as hi, sqrt(avg(value * value)) as rms from events group by all)
+--
+select mission, q1, median, q3, greatest(lo, q1 - 1.5 * (q3 - q1)) as low, least(hi, q3 + 1.5 * (q3 - q1)) as high, p95, rms from q""",
+    "mission",
+    "q1 median q3 low high p95 rms",
+)
+def box_stats(spark, d):
+    return reports.box_stats(V.table(spark, d, "events").withColumnRenamed("event_type", "mission"), ["mission"], "value")
+
+
+@query(_SURFACE + ",\nv as (select case when z <= 0 then 8 else 2 + (1 - least(1, z / (select max(z) from surf))) * 6 end as s from surf), b as (select greatest(0, least(floor((s - 2) / (6 / 32)), 31))::int as bin, count(*) as n from v group by all)\n--\nselect bin, n, 2 + (bin + 0.5) * (6 / 32) as center from b", "", "center", "bin n")
+def speed_histogram(spark, d):
+    return reports.speed_histogram(_surface(spark, d), planner.DensityGuidedSpeed())
+
+
+@query(
+    V.WAYPOINTS + "\n--\nselect seq, x, y from wps where x between 50 and 60.5 and y between 0 and 80", "", "x y", "seq"
+)
+def filter_bbox(spark, d):
+    return planner.filter_bbox(V.waypoints(spark, d), 50.0, 60.5, 0.0, 80.0).select("seq", "x", "y")
+
+
+@query(
+    V.FEATURES + ",\nm as (select id as k, f as c from feat where id < 3)\n--\nselect id, arg_min(k + 1, (list_distance(f, c), k)) as label from feat cross join m group by id", "", "", "id label"
+)
+def assign_medoids(spark, d):
+    f = V.features(spark, d)
+    medoids = [r.f for r in f.where("id < 3").orderBy("id").collect()]
+    return features.assign_medoids(f.select("id", "f"), medoids).select("id", "label")
+
+
+@query(
+    V.FEATURES + ",\ns as (select label, count(*) as n, avg(f[1]) as a, avg(f[2]) as b, avg(f[3]) as c from feat group by all)\n--\nselect label, n, a as mean_l, b as mean_a, c as mean_b, n / sum(n) over () as frac, -b as minus_a from s",
+    "",
+    "mean_l mean_a mean_b frac minus_a",
+    "label n",
+)
+def cluster_summary(spark, d):
+    return features.cluster_summary(V.features(spark, d)).select("label", "n", F.col("mean_L").alias("mean_l"), "mean_a", "mean_b", "frac", "minus_a")
+
+
+@query(_PIX + "\n--\nselect bool_and(abs(r - g) <= 1e-6 and abs(g - b) <= 1e-6) as grey, bool_and(abs(r - g) <= 300 and abs(g - b) <= 300) as loose from px", "grey loose")
+def is_grey(spark, d):
+    r, g, b = (F.col(c) for c in "rgb")
+    return V.pixels(spark, d).agg(X.is_grey(r, g, b).alias("grey"), X.is_grey(r, g, b, 300).alias("loose"))
+
+
+@query(_PIX + "\n--\nselect row, col, r, g, b from px where row % 3 = 0 and col % 3 = 0", "", "", "row col r g b")
+def decimate(spark, d):
+    return raster.decimate(V.pixels(spark, d), 3)
+
+
+@query(_PIX + ",\nn as (select max(row) as last from px)\n--\nselect a.row, a.col, b.r as label from px a join px b on b.row = (a.row // 4) * 4 and b.col = (a.col // 4) * 4", "", "", "row col label")
+def upsample_labels(spark, d):
+    px = V.pixels(spark, d)
+    nrows = px.agg(F.max("row")).first()[0] + 1
+    small = raster.decimate(px, 4).select("row", "col", F.col("r").alias("label"))
+    return raster.upsample_labels(small, px.select("row", "col"), 4, nrows, 100)
+
+
+@query("w as (select event_type as mission, epoch_us(date_trunc('day', ts)) / 1e6 as started, count(*) as n from events group by all)\n--\nselect * from w", "mission", "started", "n")
+def windowed_counts(spark, d):
+    out = sessions.windowed_counts(V.table(spark, d, "events"), "event_type", "ts", "1 day")
+    return out.select(F.col("event_type").alias("mission"), (F.unix_micros("start") / F.lit(1e6)).alias("started"), "n")
+
+
+@query(_CAND + "\n--\nselect distinct t.mission, l.line_index as nearest_line, case when k >= 100 then med else l.y_center end as fitted_center from (select distinct mission from track) t cross join lines l left join fit on fit.mission = t.mission and fit.line = l.line_index", "mission", "fitted_center", "nearest_line")
+def fitted_line_centers(spark, d):
+    near = T.assign_to_planned_lines(V.track(spark, d).withColumn("speed", X.ground_speed(F.col("ve"), F.col("vn"))), _lines(spark, d))
+    ok = (F.col("cross_track_m") <= 12) & F.col("x").between(F.col("_x_min") - 12, F.col("_x_max") + 12) & (F.abs("ve") / F.greatest("speed", F.lit(1e-6)) >= 0.72) & F.col("speed").between(1, 9.5)
+    return T.fitted_line_centers(near, _lines(spark, d), ok)
+
+
+@query(
+    V.DENSE
+    + """,
+top as (select greatest(1.1 * quantile_cont(n, 0.95) filter (n > 0), 10) as t from dense),
+b as (select mission, floor((n - 1) / ((t - 1) / 40))::int + 1 as bin, count(*) as cells from dense, top where n > 0 group by all)
+--
+select mission, bin, cells, cells / sum(cells) over (partition by mission) as share from b""",
+    "mission",
+    "share",
+    "bin cells",
+)
+def band_histogram(spark, d):
+    return reports.band_histogram(V.dense(spark, d), ["mission"])
+
+
+@query(
+    "t as (select * from (values (2, 0.5, 1.0, 1.0, 9.0), (3, 0.5, 2.0, 0.5, 1.0), (4, 0.1, 2.0, 2.0, 9.0)) v(k, s, u, b, c))\n--\nselect k, (case when k = 2 then 2 when k = 3 then 2 else 0 end) as votes from t",
+    "",
+    "",
+    "k votes",
+)
+def index_votes(spark, d):
+    rows = [(2, 0.5, 1.0, 1.0, 9.0), (3, 0.5, 2.0, 0.5, 1.0), (4, 0.1, 2.0, 2.0, 9.0)]
+    sweep = spark.createDataFrame(rows, "k int, silhouette double, dunn double, davies_bouldin double, calinski_harabasz double")
+    return features.votes(sweep).select("k", "votes")
+
+
+@query(
+    V.WAYPOINTS
+    + ",\nn as (select seq, floor(x)::int as xi, x, y from wps)\n--\nselect seq, least(greatest(ceil((x - 0.5) / 10 - 0.5), 0), 39)::int as col, least(greatest(ceil((y - 0.5) / 10 - 0.5), 0), 24)::int as row from n",
+    "",
+    "",
+    "seq col row",
+)
+def nearest_axis_index(spark, d):
+    w = V.waypoints(spark, d)
+    return w.select("seq", X.nearest_index(F.col("x"), 0.5, 10.0, 40).alias("col"), X.nearest_index(F.col("y"), 0.5, 10.0, 25).alias("row"))
+
+
+@query()
+def geographic_route(spark, d):
+    lat, lon = X.transverse_mercator_inverse(F.col("x") + 341300.0, F.col("y") + 4774600.0, -69.0)
+    return V.waypoints(spark, d).select("seq", lat.alias("lat"), lon.alias("lon"))
