@@ -5,13 +5,14 @@ their sets' Jaccard similarity reaches the threshold. The plan:
 
 1. A frequency sketch of fixed size over all shingles gives one global order, rare ones first;
    prefix filtering then needs only the first ``n - ceil(t * n) + 1`` shingles of a set.
-2. Documents with the same prefix and size form one group: inside a task they are met together
-   and equal sets are collapsed to a class, so copies cost one row each, not one per shingle.
-3. Tokens that only one class has are dropped in a streaming pass. Tokens the sketch calls hot
-   are dealt by class instead of by token, so no task receives a whole hot token.
-4. Group pairs are filtered by size and position, expanded and verified on whole sets. First
-   every class is compared with one pivot of each of its tokens (linear); what the verified links
-   have already joined need not be compared again, so only pairs of different components follow.
+2. Documents with the same prefix and size form one group, and only groups travel with their
+   tokens. Tokens that a single group has are dropped in a streaming pass. Tokens the sketch calls
+   hot are dealt by group instead of by token, so no task receives a whole hot token.
+3. The groups left are expanded to their members. Documents with equal sets are one member (a
+   class); the members of one group also meet each other.
+4. Pairs are filtered by size and position and verified on whole sets. First every class is
+   compared with a few pivots of each of its tokens (linear); what the verified links have joined
+   need not be compared again, so only pairs of different components follow.
 
 Edge cases: null or empty texts and texts without words have an empty set and link with nothing;
 with fewer than k words the whole sequence is the one shingle. Rows that repeat a doc_id count as
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -96,6 +97,16 @@ def signature(s: np.ndarray) -> int:
     return int(K.mix(x).view(np.int64)[0])
 
 
+def prefix_of(s: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tokens and frequency classes of a set's prefix in the global order (rare first), and the name
+    of its group: the sets with this prefix and size."""
+    cls = ranks[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    order = np.sort((cls << U(56)) | (s >> U(8)))[: len(s) - -(-num * len(s) // den) + 1]
+    group = K.mix(K.mix(order).sum(dtype=np.uint64, keepdims=True) + np.array([len(s)], np.uint64) * K.PLACE[3])
+    # the class is left out of the token: 56 hash bits are enough
+    return K.signed(order & U((1 << 56) - 1)), (order >> U(56)).astype(np.int64), int(group.view(np.int64)[0])
+
+
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per row of ``docs(doc_id, text)``; documents
     link when den * |intersection| >= num * |union|."""
@@ -108,51 +119,50 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
     shared = spark.sparkContext.broadcast(classes)
 
     def signatures(batches):
+        ranks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            sig, n = [], []
+            sig, grp, n = [], [], []
             for _, sets in _sets(batch, k):
                 for s in sets:
                     n.append(len(s))
                     sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "sig": pa.array(sig, pa.int64()), "n": pa.array(n, pa.int64())})
+                    grp.append(prefix_of(s, ranks, num, den)[2] if len(s) else None)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "sig": pa.array(sig, pa.int64()), "grp": pa.array(grp, pa.int64()), "n": pa.array(n, pa.int64())})
 
     def prefixes(batches):
         ranks = np.frombuffer(shared.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch, k):
-                tok, sig, size, pos, deal = [], [], [], [], []
+                tok, grp, size, pos, deal = [], [], [], [], []
                 for s in sets:
-                    if not len(s) or (name := signature(s)) in seen:
+                    if not len(s):
                         continue
-                    if len(seen) >= 1 << 20:  # bounded: a set forgotten is only met again
+                    t, c, group = prefix_of(s, ranks, num, den)
+                    if group in seen:
+                        continue
+                    if len(seen) >= 1 << 20:  # bounded: a group forgotten is only met again
                         seen.clear()
-                    seen.add(name)
-                    cls = ranks[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                    order = np.sort((cls.astype(np.uint64) << U(56)) | (s >> U(8)))[: len(s) - -(-num * len(s) // den) + 1]
-                    # the rank is left out of the token: 56 hash bits and the position are enough
-                    t = K.signed(order & U((1 << 56) - 1))
-                    c = (order >> U(56)).astype(np.int64)
-                    at = np.arange(len(t))
+                    seen.add(group)
                     keep = c > 1  # a bucket that one document alone has matches nothing
                     tok.append(t[keep])
-                    pos.append(at[keep])
-                    sig.append(np.full(keep.sum(), name))
+                    pos.append(np.flatnonzero(keep))
+                    grp.append(np.full(keep.sum(), group))
                     size.append(np.full(keep.sum(), len(s)))
-                    deal.append(np.where(c[keep] >= hot, name & 0x3FFF | 1, 0))
+                    deal.append(np.where(c[keep] >= hot, group & 0x3FFF | 1, 0))
                 if tok:
                     yield pa.RecordBatch.from_pydict(
                         {
                             "token": np.concatenate(tok),
                             "deal": np.concatenate(deal).astype(np.int32),
-                            "sig": np.concatenate(sig),
+                            "grp": np.concatenate(grp),
                             "n": np.concatenate(size).astype(np.int32),
                             "pos": np.concatenate(pos).astype(np.int32),
                         }
                     )
 
     def met_twice(batches):
-        """Drops the tokens of one class only and repeated rows. Rows come sorted."""
+        """Drops the tokens of one group only and repeated rows. Rows come sorted."""
         held = None
         for batch in _with_end(batches):
             if batch is None:
@@ -161,13 +171,13 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
                     return
                 cut = len(rows["token"])
             else:
-                new = {c: batch.column(c).to_numpy() for c in ("token", "deal", "sig", "n", "pos")}
+                new = {c: batch.column(c).to_numpy() for c in ("token", "deal", "grp", "n", "pos")}
                 rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
                 t = rows["token"]
                 cut = int(np.searchsorted(t, t[-1])) if len(t) else 0
                 if cut == 0 and len(t) > 200_000:  # a run longer than the sketch foresaw: all of it is met twice
                     cut = len(t)
-            t, d, s = rows["token"][:cut], rows["deal"][:cut], rows["sig"][:cut]
+            t, d, s = rows["token"][:cut], rows["deal"][:cut], rows["grp"][:cut]
             if cut:
                 first = np.ones(cut, bool)
                 first[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
@@ -178,7 +188,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
                 keep[:-1] |= same
                 if keep.any():
                     yield pa.RecordBatch.from_pydict(
-                        {"token": t[keep], "sig": s[keep], "n": rows["n"][:cut][first][keep], "pos": rows["pos"][:cut][first][keep]}
+                        {"token": t[keep], "grp": s[keep], "n": rows["n"][:cut][first][keep], "pos": rows["pos"][:cut][first][keep]}
                     )
             held = {c: v[cut:] for c, v in rows.items()}
 
@@ -186,12 +196,15 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
         yield from (b for b in batches if b.num_rows)
         yield None
 
-    named = materialize(docs.mapInArrow(signatures, "doc_id long, sig long, n long"), "named")
-    rows = docs.select("text").mapInArrow(prefixes, "token long, deal int, sig long, n int, pos int")
-    tokens = materialize(
-        rows.repartition("token", "deal").sortWithinPartitions("token", "sig").mapInArrow(met_twice, "token long, sig long, n int, pos int"), "tokens"
-    )
-    where = named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    named = materialize(docs.mapInArrow(signatures, "doc_id long, sig long, grp long, n long"), "named")
+    where = materialize(named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").cast("int").alias("n")), "classes")
+    rows = docs.select("text").mapInArrow(prefixes, "token long, deal int, grp long, n int, pos int")
+    grouped = rows.repartition("token", "deal").sortWithinPartitions("token", "grp").mapInArrow(met_twice, "token long, grp long, n int, pos int")
+    # Groups are expanded to their members; members of one group also meet under the group's name.
+    members = where.select("grp", "sig", F.col("n").alias("_n"))
+    several = members.groupBy("grp").count().where("count > 1").select("grp")
+    inside = members.join(several, "grp").select(F.col("grp").alias("token"), "sig", F.col("_n").alias("n"), F.lit(0).alias("pos"))
+    tokens = materialize(grouped.join(members.select("grp", "sig"), "grp").select("token", "sig", "n", "pos").union(inside), "tokens")
 
     fits = (
         f"{den} * least(na, nb) >= {num} * greatest(na, nb) and "
@@ -264,7 +277,7 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
 
     if pairs.isEmpty():
         return pairs.sparkSession.createDataFrame([], "a long, b long")
-    wanted = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(where, "sig"), "wanted")
+    wanted = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(where.select("sig", "doc_id"), "sig"), "wanted")
     made = split_by_ids(docs, wanted)[0].mapInArrow(sets, "doc_id long, members binary")
     store = materialize(made.join(wanted.hint("merge"), "doc_id").select("sig", "members").dropDuplicates(["sig"]), "sets")
     left = store.select(F.col("sig").alias("a"), F.col("members").alias("ma"))
