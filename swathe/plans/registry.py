@@ -856,13 +856,11 @@ def filter_bbox(spark, d):
     return planner.filter_bbox(V.waypoints(spark, d), 50.0, 60.5, 0.0, 80.0).select("seq", "x", "y")
 
 
-@query(
-    V.FEATURES + ",\nm as (select id as k, f as c from feat where id < 3)\n--\nselect id, arg_min(k + 1, (list_distance(f, c), k)) as label from feat cross join m group by id", "", "", "id label"
-)
+@query(_CENT + ",\nm as (select label as k, c from cent)\n--\nselect id, arg_min(k + 1, (round(list_distance(f, c) ** 2, 9), k)) as label from feat cross join m group by id", "", "", "id label")
 def assign_medoids(spark, d):
     f = V.features(spark, d)
-    medoids = [r.f for r in f.where("id < 3").orderBy("id").collect()]
-    return features.assign_medoids(f.select("id", "f"), medoids).select("id", "label")
+    centres = [r.c for r in features.centroids(f).orderBy("label").collect()]  # one per cluster
+    return features.assign_medoids(f.select("id", "f"), centres).select("id", "label")
 
 
 @query(
