@@ -6,7 +6,7 @@ their sets' Jaccard similarity reaches the threshold. The plan:
 1. A frequency sketch of fixed size over all shingles gives one global order, rare ones first;
    prefix filtering then needs only the first ``n - ceil(t * n) + 1`` shingles of a set.
 2. Documents with the same prefix and size form one group, and only groups travel with their
-   tokens. Tokens that a single group has are dropped in a streaming pass. Tokens the sketch calls
+   tokens. A token that no other group of a fitting size has is dropped in a streaming pass. Tokens the sketch calls
    hot are dealt by group instead of by token, so no task receives a whole hot token.
 3. The groups left are expanded to their members. Documents with equal sets are one member (a
    class); the members of one group also meet each other.
@@ -38,6 +38,7 @@ BLOCK_BITS = 12
 HOT_FACTOR = 64
 #: Classes of each token that all its other classes are compared with in a linear step.
 PIVOTS, MORE_PIVOTS = 8, 64
+LONG_RUN = 256
 U = np.uint64
 
 
@@ -97,6 +98,20 @@ def signature(s: np.ndarray) -> int:
     return int(K.mix(x).view(np.int64)[0])
 
 
+def fitting(token: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows have another row of their token whose size and position still allow a link. Rows
+    are sorted by token; in runs of over LONG_RUN rows every row stays."""
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    size = np.diff(np.append(first, len(token)))
+    long = np.repeat(size > LONG_RUN, size)
+    length = np.where(long | np.repeat(size == 1, size), 0, np.repeat(size, size))
+    i = np.repeat(np.arange(len(token)), length)
+    j = np.repeat(np.repeat(first, size), length) + np.arange(len(i)) - np.repeat(np.cumsum(length) - length, length)
+    a, b, p, q = n[i].astype(np.int64), n[j].astype(np.int64), pos[i], pos[j]
+    ok = (i != j) & (den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((num + den) * np.minimum(a - p, b - q) >= num * (a + b))
+    return long | (np.bincount(i[ok], minlength=len(token)) > 0)
+
+
 def prefix_of(s: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Tokens and frequency classes of a set's prefix in the global order (rare first), and the name
     of its group: the sets with this prefix and size."""
@@ -162,8 +177,9 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
                     )
 
     def met_twice(batches):
-        """Drops the tokens of one group only and repeated rows. Rows come sorted."""
-        held = None
+        """Drops repeated rows, and rows whose token no other group of a fitting size has. Rows
+        come sorted by token and group."""
+        held = overlong = None
         for batch in _with_end(batches):
             if batch is None:
                 rows = held
@@ -175,21 +191,16 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
                 rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
                 t = rows["token"]
                 cut = int(np.searchsorted(t, t[-1])) if len(t) else 0
-                if cut == 0 and len(t) > 200_000:  # a run longer than the sketch foresaw: all of it is met twice
-                    cut = len(t)
-            t, d, s = rows["token"][:cut], rows["deal"][:cut], rows["grp"][:cut]
+                if cut == 0 and len(t) > 200_000:  # a run longer than the sketch foresaw: all of it stays
+                    cut, overlong = len(t), t[-1]
             if cut:
+                t, d, g, n, pos = (rows[c][:cut] for c in ("token", "deal", "grp", "n", "pos"))
                 first = np.ones(cut, bool)
-                first[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-                t, d, s = t[first], d[first], s[first]
-                same = t[1:] == t[:-1]
-                keep = d > 0
-                keep[1:] |= same
-                keep[:-1] |= same
+                first[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+                t, d, g, n, pos = (x[first] for x in (t, d, g, n, pos))
+                keep = (d > 0) | (t == overlong if overlong is not None else False) | fitting(t, n, pos, num, den)
                 if keep.any():
-                    yield pa.RecordBatch.from_pydict(
-                        {"token": t[keep], "grp": s[keep], "n": rows["n"][:cut][first][keep], "pos": rows["pos"][:cut][first][keep]}
-                    )
+                    yield pa.RecordBatch.from_pydict({"token": t[keep], "grp": g[keep], "n": n[keep], "pos": pos[keep]})
             held = {c: v[cut:] for c, v in rows.items()}
 
     def _with_end(batches):
