@@ -3,11 +3,13 @@
 Overlapping documents are found through shared rare lines, aligned with a patience diff, and the
 aligned common blocks are deleted from the later document (the one with the larger doc_id).
 
-A line is rare if at most RARE documents hold it; all pairs of these documents are aligned. A line
-that more documents hold says little alone, but two neighbouring lines together do: for such a
-pair of lines every document that holds it is aligned with the first that does. So large groups of
-copies are found through their common first member, with one pair for each copy and no limit on
-the group's size, while a boilerplate line alone leads to no pair.
+A line is rare if at most RARE documents hold it; all pairs of these documents are aligned. A
+short line that more documents hold says little alone, but two neighbouring lines together do
+(blank lines between them do not count), and so does a line of at least PASSAGE bytes, or one that
+is its document's only line: for such a sign every document that holds it is aligned with the first
+that does. So large groups of copies are found through their common first member, with one pair for
+each copy and no limit on the group's size. A line of less than PASSAGE bytes that more than RARE
+documents hold, with other neighbours in each, is taken for boilerplate and leads to no pair.
 
 A common block is a maximal run of equal neighbouring lines in the alignment (lines without a
 letter or digit may lie inside a block, but count nothing). A block is deleted if it has at least
@@ -32,6 +34,8 @@ from .common import materialize, split_by_ids
 
 RARE = 8
 MIN_BYTES = 20
+#: Bytes of a line that is a passage, not boilerplate, however many documents hold it.
+PASSAGE = 100
 U = np.uint64
 
 
@@ -123,12 +127,15 @@ def overlapping(docs: DataFrame, rare: int = RARE) -> tuple[DataFrame, DataFrame
             for lo, hi in K.chunks(offs):
                 starts, ends, first, h = line_hashes(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                keep = (ends - starts >= MIN_BYTES) & (h != 0)
-                two = (doc[1:] == doc[:-1]) & (h[1:] != 0) & (h[:-1] != 0) & (ends[1:] - starts[:-1] > MIN_BYTES)
+                solid = h != 0
+                doc, h, size = doc[solid], h[solid], (ends - starts)[solid]
+                keep = size >= MIN_BYTES
+                two = (doc[1:] == doc[:-1]) & (size[1:] + size[:-1] >= MIN_BYTES)
                 pair = K.mix(h[:-1] * K.PLACE[0] + h[1:] * K.PLACE[1])
-                d = np.concatenate([doc[keep], doc[:-1][two]])
-                x = np.concatenate([h[keep], pair[two]])
-                kind = np.concatenate([np.zeros(keep.sum(), np.int32), np.ones(two.sum(), np.int32)])
+                only = keep & (np.bincount(doc, minlength=hi - lo)[doc] == 1)
+                d = np.concatenate([doc[keep], doc[:-1][two], doc[only]])
+                x = np.concatenate([h[keep], pair[two], K.mix(h[only] * K.PLACE[4])])
+                kind = np.concatenate([size[keep] >= PASSAGE, np.ones(two.sum() + only.sum(), bool)]).astype(np.int32)
                 f = np.unique(K.mix(x ^ d.astype(np.uint64) * K.PLACE[2]), return_index=True)[1]
                 yield pa.RecordBatch.from_pydict({"sign": K.signed(x[f]), "kind": kind[f], "doc": ids[lo:hi][d[f]]})
 

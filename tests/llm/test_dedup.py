@@ -146,6 +146,20 @@ def test_large_groups_of_copies_lose_all_but_the_first(documents):
     assert out[0] == 0 and all(out[i] == 4 for i in range(1, 30))
 
 
+def test_large_groups_are_found_by_passages_single_lines_and_parted_paragraphs(documents):
+    passage, short, parts = prose(70, 40), prose(71, 4), [prose(72 + i, 8) for i in range(3)]
+    rows = [(i, f"{prose(100 + i, 9)}\n{passage}\n{prose(200 + i, 9)}") for i in range(12)]
+    rows += [(100 + i, short) for i in range(12)]
+    rows += [(200 + i, "\n\n".join([*parts, f"number {i} has this last line"])) for i in range(12)]
+    assert len(passage) >= 100 and 20 <= len(short) < 100 and line_dedup.RARE < 12
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(documents(rows)).collect()}
+    assert [out[k].removed_lines for k in (0, 100, 200)] == [0, 0, 0]
+    for i in range(1, 12):
+        assert out[i].removed_lines == 1 and passage not in out[i].text
+        assert out[100 + i].text == ""
+        assert out[200 + i].text.strip() == f"number {i} has this last line"
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep long, v string")
 
