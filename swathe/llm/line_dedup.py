@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared rare lines, aligned with a patience diff, and the
-aligned common blocks are deleted from the later document (the one with the larger doc_id).
+Overlapping documents are found through shared rare lines, aligned with a patience diff (a longest
+common subsequence where no line is unique on both sides), and the aligned common blocks are deleted from the later document (the one with the larger doc_id).
 
 A line is rare if at most RARE documents hold it; all pairs of these documents are aligned. A
 short line that more documents hold says little alone, but two neighbouring lines together do
@@ -36,6 +36,8 @@ RARE = 8
 MIN_BYTES = 20
 #: Bytes of a line that is a passage, not boilerplate, however many documents hold it.
 PASSAGE = 100
+#: Bits of an alignment's matrix held at once.
+MATRIX = 1 << 28
 U = np.uint64
 
 
@@ -57,10 +59,68 @@ def line_hashes(data: np.ndarray, offs: np.ndarray):
     return starts, ends, first, h
 
 
+def _rows(a: list[int], b: list[int]):
+    """For each prefix of ``a``, as a bit vector, where the longest common subsequence with the
+    prefixes of ``b`` grows (zero bits). Bit-parallel: a step costs len(b) / 64 word operations."""
+    where: dict[int, int] = {}
+    parts: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        parts.setdefault(x, []).append(j)
+    for x, js in parts.items():
+        bits = np.zeros(js[-1] + 1, np.uint8)
+        bits[js] = 1
+        where[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequence of ``a`` and every prefix of ``b``."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def longest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places. Ranges whose bit matrix would exceed
+    MATRIX bits are halved first (Hirschberg), so memory stays bounded and the result is exact."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 > 1 and (a1 - a0) * (b1 - b0) > MATRIX:
+            mid = (a0 + a1) // 2
+            both = _lengths(a[a0:mid], b[b0:b1]) + _lengths(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]
+            cut = b0 + int(both.argmax())
+            todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+            continue
+        rows = [(1 << (b1 - b0)) - 1, *_rows(a[a0:a1], b[b0:b1])]
+        i, j = a1 - a0, b1 - b0
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - 1] >> (j - 1) & 1:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((a0 + i, b0 + j))
+    out.sort()
+    return out
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Common blocks (start in a, start in b, length) of two line sequences, by patience diff:
     lines unique on both sides, their longest increasing chain, and the same between its links;
-    blocks grow to both sides over equal lines."""
+    where there is no such line, a longest common subsequence. Blocks grow to both sides over equal
+    lines; blank lines (0) match only so."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -75,8 +135,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             continue
         once: dict[int, list[int]] = {}
         for i in range(a0, a1):
-            once.setdefault(a[i], [0, 0, 0, 0])[0] += 1
-            once[a[i]][1] = i
+            if a[i]:
+                once.setdefault(a[i], [0, 0, 0, 0])[0] += 1
+                once[a[i]][1] = i
         for j in range(b0, b1):
             if b[j] in once:
                 once[b[j]][2] += 1
@@ -100,6 +161,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             chain.append(pairs[n])
             n = back[n]
         chain.reverse()
+        if not chain:
+            ia = [i for i in range(a0, a1) if a[i] in once and once[a[i]][2]]
+            jb = [j for j in range(b0, b1) if b[j] in once]
+            chain = [(ia[i], jb[j]) for i, j in longest([a[i] for i in ia], [b[j] for j in jb])]
+            for n in range(len(chain) - 2, -1, -1):  # links move towards the next one, so that blocks hold together
+                (i, j), (x, y) = chain[n : n + 2]
+                if y == j + 1 and x > i + 1 and a[x - 1] == b[j]:
+                    chain[n] = (x - 1, j)
+                elif x == i + 1 and y > j + 1 and b[y - 1] == a[i]:
+                    chain[n] = (i, y - 1)
         i0, j0 = a0, b0
         for i, j in [*chain, (a1, b1)]:
             if chain and (i > i0 or j > j0):

@@ -117,6 +117,23 @@ def test_patience_blocks():
     assert line_dedup.patience([5, 1, 2, 3], [1, 2, 3, 5]) == [(1, 0, 3)]
 
 
+def test_repeated_lines_are_aligned(monkeypatch):
+    assert line_dedup.patience([1, 2, 1, 2], [9, 1, 2, 8]) in ([(0, 1, 2)], [(2, 1, 2)])
+    assert line_dedup.patience([3, 1, 2, 7, 1, 2], [1, 2, 1, 2, 5]) == [(1, 0, 2), (4, 2, 2)]
+    assert line_dedup.patience([1, 5, 0, 1, 2], [6, 0, 1, 2, 0, 1]) == [(2, 1, 3)]  # a blank line is no anchor
+    rng = np.random.default_rng(8)
+    for most in (1 << 28, 40):
+        monkeypatch.setattr(line_dedup, "MATRIX", most)
+        for _ in range(60):
+            a, b = (rng.integers(1, 5, rng.integers(0, 30)).tolist() for _ in "ab")
+            best = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+            got = line_dedup.longest(a, b)
+            assert len(got) == best[-1, -1] and all(a[i] == b[j] for i, j in got)
+            assert all(x < y and p < q for (x, p), (y, q) in itertools.pairwise(got))
+
+
 def test_line_dedup(documents):
     lines = [prose(i, 8) for i in range(12)]
     boiler = "released under a licence that everybody uses"
