@@ -6,8 +6,9 @@ slots whose text varies are content. Trees are compared by shape: neighbouring s
 tag and class are one list node, so a long article costs as much as a short one.
 
 What a page's own marks already say is used first: elements whose tag, role or class names a menu,
-header, footer, sidebar, notice, advert, form, comment section or script are never content, and
-if the page has an article (or main) element the content lies in it. Induction then decides what is
+header, footer, sidebar, notice, advert, form, comment section or script are never content (class
+and id words count as whole tokens, and not on html, body, main, an outermost article or what such a
+content element lies in), and if the page has an article (or main) element the content lies in it. Induction then decides what is
 left: constant slots of the host go, inside an article too unless they are running text.
 
 Pages are dealt by host and a salt, so that a task holds at most about GROUP pages of a host at a
@@ -56,14 +57,15 @@ NEVER = {
     "svg", "canvas", "video", "audio", "dialog", "menu", "map", "noembed", "noframes", "fieldset", "search", "datalist", "output", "progress", "meter", "math",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
-#: Words in a class or id that name boilerplate.
+#: Elements that class and id words do not make boilerplate; an article inside another one they do.
+WHOLE = {"html", "body", "main", "article"}
+#: Class names and ids that name boilerplate.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
     "header", "masthead", "footer", "sidebar", "aside", "widget", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
     "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "reply", "replies", "disqus", "respond", "related", "recommended", "recommendations", "pagination", "pager",
     "search", "form", "toolbar", "skip", "hidden", "copyright", "legal", "disclaimer", "tags", "toc",
 }
-PLAIN = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 ENDS_P = BLOCK
 #: An opening tag that ends an open element of these names, up to the given containers.
@@ -82,30 +84,31 @@ SCOPE = {"table", "td", "th", "caption", "html", "button", "object", "template"}
 
 
 class Node:
-    __slots__ = ("tag", "mark", "never", "children", "parent", "constant")
+    __slots__ = ("tag", "mark", "never", "named", "children", "parent", "constant")
 
     def __init__(self, tag: str, mark: str = "", never: bool = False, parent: Node | None = None):
         self.tag, self.mark, self.never, self.parent = tag, mark, never, parent
         self.children: list = []
-        self.constant = False
+        self.constant = self.named = False  # named: never content by class or id alone
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """The class names of an element, and whether they, its id or its role name boilerplate."""
-    mark, never = "", False
+def _marks(attributes: str) -> tuple[str, bool, bool]:
+    """The class names of an element, whether its role or style hides it or names boilerplate, and
+    whether its class names or id do."""
+    mark, never, named = "", False, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             if name == "class":
                 mark = value
-            never = never or any(w in MARKS for w in PLAIN.findall(value.lower()))
+            named = named or any(w in MARKS for w in value.lower().split())
         elif name == "role":
             never = never or value.lower() in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             never = True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             never = True
-    return mark, never
+    return mark, never, named
 
 
 def parse(page: str) -> Node:
@@ -154,8 +157,11 @@ def parse(page: str) -> Node:
                 here = node.parent
         if tag not in ("head", "html", "script", "style", "meta", "link", "title", "base", "noscript", "template") and here.tag == "head":
             here = here.parent
-        mark, never = _marks(attributes) if attributes else ("", False)
-        node = Node(tag, mark, never or tag in NEVER, here)
+        mark, never, named = _marks(attributes) if attributes else ("", False, False)
+        never = never or tag in NEVER
+        named = named and not never and (tag not in WHOLE or tag == "article" and any(_open(here, "article")))
+        node = Node(tag, mark, never or named, here)
+        node.named = named
         here.children.append(node)
         if tag in VOID:
             continue
@@ -215,20 +221,30 @@ def blocks(root: Node) -> list[tuple[str, Node]]:
 
 
 def content_root(root: Node) -> tuple[Node, bool]:
-    """The article or main element with the most text outside boilerplate, if there is one."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        for child in node.children:
-            if isinstance(child, Node) and not child.never:
-                name = "main" if child.mark == "main" or child.tag == "main" else child.tag
-                if name in found:
-                    found[name].append(child)
-                stack.append(child)
-    for name in ("article", "main"):
-        if found[name]:
-            return max(found[name], key=lambda x: sum(len(t) for t, _ in blocks(x))), True
+    """The article or main element with the most text outside boilerplate, if there is one. Where
+    all of them lie in elements that class or id name boilerplate, these are not taken for such if
+    the element has more text than the page outside them."""
+    amount = lambda x: sum(len(t) for t, _ in blocks(x))
+    for named in (False, True):
+        found: dict[str, list[Node]] = {"article": [], "main": []}
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            for child in node.children:
+                if isinstance(child, Node) and (not child.never or named and child.named):
+                    name = "main" if child.mark == "main" or child.tag == "main" else child.tag
+                    if name in found:
+                        found[name].append(child)
+                    stack.append(child)
+        for name in ("article", "main"):
+            if found[name]:
+                best = max(found[name], key=amount)
+                if named and amount(best) <= amount(root):
+                    continue
+                for node in _up(best):
+                    if node.named:
+                        node.never = node.named = False
+                return best, True
     return root, False
 
 

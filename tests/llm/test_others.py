@@ -109,6 +109,13 @@ def test_pages():
     assert html_extract.main_texts(site[:2])[0].startswith("The site")  # too few pages to tell
 
 
+def test_class_words_do_not_drop_whole_pages():
+    words = ("<body class='single has-sidebar'><article class='post category-social tag-legal'><p>text</p></article>", "<html class=header><body id=search><main class='form'><p>text</p></main>", "<div class='sidebar widget'><article class=notice><p>text</article></div>")
+    assert html_extract.main_texts(list(words)) == ["text"] * 3
+    assert html_extract.main_texts(["<article><p>text<div class='no-ad x'>a</div><div class='x ad'>b</div></article><div class=comments><article><p>a long comment</article></div>"]) == ["text\n\na"]
+    assert html_extract.main_texts(["<div>a text</div><div class=comments><article>short</article></div>"]) == ["a text"]
+
+
 def test_tree_matching():
     a, b = (html_extract.shape([html_extract.parse(p)]) for p in ("<div><p>1<ul><li>2</ul></div>", "<div><h1>t</h1><p>1<p>2<ul><li>2<li>3</ul></div>"))
     pairs: list = []
