@@ -8,7 +8,7 @@ tag and class are one list node, so a long article costs as much as a short one.
 What a page's own marks already say is used first: elements whose tag, role or class names a menu,
 header, footer, sidebar, notice, advert, form, comment section or script are never content (class
 and id words count as whole tokens, and not on html, body, main, an outermost article or what such a
-content element lies in), and if the page has an article (or main) element the content lies in it. Induction then decides what is
+content element lies in), and if the page has article or main elements the content lies in them, in all that are outermost. Induction then decides what is
 left: constant slots of the host go, inside an article too unless they are running text.
 
 Pages are dealt by host and a salt, so that a task holds at most about GROUP pages of a host at a
@@ -220,32 +220,27 @@ def blocks(root: Node) -> list[tuple[str, Node]]:
     return out
 
 
-def content_root(root: Node) -> tuple[Node, bool]:
-    """The article or main element with the most text outside boilerplate, if there is one. Where
-    all of them lie in elements that class or id name boilerplate, these are not taken for such if
-    the element has more text than the page outside them."""
+def content_roots(root: Node) -> list[Node]:
+    """The outermost article and main elements outside boilerplate, in page order. Where all of
+    them lie in elements that class or id name boilerplate, these are not taken for such if the
+    found elements have more text than the page outside them."""
     amount = lambda x: sum(len(t) for t, _ in blocks(x))
     for named in (False, True):
-        found: dict[str, list[Node]] = {"article": [], "main": []}
+        found: list[Node] = []
         stack = [root]
         while stack:
             node = stack.pop()
-            for child in node.children:
-                if isinstance(child, Node) and (not child.never or named and child.named):
-                    name = "main" if child.mark == "main" or child.tag == "main" else child.tag
-                    if name in found:
-                        found[name].append(child)
-                    stack.append(child)
-        for name in ("article", "main"):
-            if found[name]:
-                best = max(found[name], key=amount)
-                if named and amount(best) <= amount(root):
-                    continue
-                for node in _up(best):
-                    if node.named:
-                        node.never = node.named = False
-                return best, True
-    return root, False
+            if node.tag in ("article", "main") or node.mark == "main":
+                found.append(node)
+                continue
+            stack.extend(x for x in reversed(node.children) if isinstance(x, Node) and (not x.never or named and x.named))
+        if named and sum(map(amount, found)) <= amount(root):
+            continue
+        if any(map(amount, found)):
+            for node in (x for f in found for x in _up(f) if x.named):
+                node.never = node.named = False
+            return found
+    return []
 
 
 class Shape:
@@ -335,18 +330,19 @@ class Wrapper:
             stack.extend(reversed(x.children))
         return out
 
-    def mark(self, tree: Node, body: Node) -> None:
-        """Marks the template nodes of a page; neither the article body nor its prose."""
+    def mark(self, tree: Node, bodies: list[Node]) -> None:
+        """Marks the template nodes of a page; neither the article bodies nor their prose."""
         if not self.constant:
             return
         number = self.numbers(self.example)
         pairs: list[tuple[Shape, Shape]] = []
         match(self.example, shape([tree]), pairs)
-        above = {id(x) for x in _up(body)}
+        above = {id(x) for body in bodies for x in _up(body)}
+        inside = {id(body) for body in bodies}
         for mine, other in pairs:
             if number[id(mine)] in self.constant:
                 for node in other.nodes:
-                    prose = node.tag in PROSE and any(x is body for x in _up(node))
+                    prose = node.tag in PROSE and any(id(x) in inside for x in _up(node))
                     node.constant = id(node) not in above and not prose
 
 
@@ -359,11 +355,11 @@ def _up(node: Node):
 def main_texts(pages: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     trees = [parse(p) for p in pages]
-    roots = [content_root(t) for t in trees]
+    roots = [content_roots(t) for t in trees]
     wrapper = Wrapper(trees)
-    for tree, (root, inside) in zip(trees, roots, strict=True):
-        wrapper.mark(tree, root if inside else Node("#none"))
-    return ["\n\n".join(t for t, _ in blocks(root)) for root, _ in roots]
+    for tree, bodies in zip(trees, roots, strict=True):
+        wrapper.mark(tree, bodies)
+    return ["\n\n".join(t for root in bodies or [tree] for t, _ in blocks(root)) for tree, bodies in zip(trees, roots, strict=True)]
 
 
 def host() -> Column:

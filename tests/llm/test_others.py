@@ -116,6 +116,10 @@ def test_class_words_do_not_drop_whole_pages():
     assert html_extract.main_texts(["<div>a text</div><div class=comments><article>short</article></div>"]) == ["a text"]
 
 
+def test_all_articles_are_kept():
+    assert html_extract.main_texts(["<div>menu</div><article><p>one</article><div class=x><article><p>two<article>in two</article></article></div>", "<p>out</p><main><p>before</p><article>three</article></main>"]) == ["one\n\ntwo\n\nin two", "before\n\nthree"]
+
+
 def test_tree_matching():
     a, b = (html_extract.shape([html_extract.parse(p)]) for p in ("<div><p>1<ul><li>2</ul></div>", "<div><h1>t</h1><p>1<p>2<ul><li>2<li>3</ul></div>"))
     pairs: list = []
