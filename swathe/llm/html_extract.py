@@ -13,7 +13,8 @@ left: constant slots of the host go, inside an article too unless they are runni
 
 Pages are dealt by host and a salt, so that a task holds at most about GROUP pages of a host at a
 time; each such group has its example page (the first) and its own wrapper. A group with fewer
-than MIN_PAGES different pages has no wrapper: nothing is constant there.
+than MIN_PAGES different pages has no wrapper: nothing is constant there. The pages of a group with
+more than HELD characters go to a temporary file while its wrapper is made, and are read again.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own; html without
 any markup is one block; broken markup is read as browsers do in outline (void elements, implied
@@ -23,9 +24,11 @@ result. Other columns are ignored, an empty input gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
+import pickle
 import re
-from collections import Counter
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,8 @@ from .common import materialize
 
 GROUP = 256
 MIN_PAGES = 4
+#: Characters of a group's pages held in memory, or of a batch of results.
+HELD = 1 << 24
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
@@ -301,25 +306,41 @@ def _text(nodes: list[Node]) -> str:
     return "\n".join(t for x in nodes for t, _ in blocks(x))
 
 
-class Wrapper:
-    """The template of a group of pages, aligned with its first page."""
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
 
-    def __init__(self, trees: list[Node]):
-        bodies = {_text([t]): t for t in trees}
-        self.example = shape([trees[0]]) if trees else None
-        self.constant: set[int] = set()
-        if len(bodies) < MIN_PAGES:
+class Wrapper:
+    """The template of a group of pages, aligned with its first page. Pages are added one by one;
+    of each only digests of its texts are kept."""
+
+    def __init__(self):
+        self.example: Shape | None = None
+        self.bodies: set[bytes] = set()
+        self.number: dict[int, int] = {}
+        self.seen: dict[int, list] = {}  # by node of the example: the text's digest (None: it varies) and how many pages have one
+
+    def add(self, tree: Node) -> None:
+        body = _digest(_text([tree]))
+        if self.example is None:
+            self.example = shape([tree])
+            self.number = self.numbers(self.example)
+        if body in self.bodies:
             return
-        number = self.numbers(self.example)
-        seen: dict[int, Counter] = {}
-        for tree in bodies.values():
-            pairs: list[tuple[Shape, Shape]] = []
-            match(self.example, shape([tree]), pairs)
-            for mine, other in pairs:
-                text = _text(other.nodes)
-                if text:
-                    seen.setdefault(number[id(mine)], Counter())[text] += 1
-        self.constant = {k for k, c in seen.items() if len(c) == 1 and c.total() >= MIN_PAGES}
+        self.bodies.add(body)
+        pairs: list[tuple[Shape, Shape]] = []
+        match(self.example, shape([tree]), pairs)
+        for mine, other in pairs:
+            text = _text(other.nodes)
+            if text:
+                digest = _digest(text)
+                held = self.seen.setdefault(self.number[id(mine)], [digest, 0])
+                held[0] = held[0] if held[0] == digest else None
+                held[1] += 1
+
+    def close(self) -> None:
+        enough = len(self.bodies) >= MIN_PAGES
+        self.constant = {k for k, (digest, n) in self.seen.items() if enough and digest is not None and n >= MIN_PAGES}
 
     @staticmethod
     def numbers(top: Shape) -> dict[int, int]:
@@ -334,13 +355,12 @@ class Wrapper:
         """Marks the template nodes of a page; neither the article bodies nor their prose."""
         if not self.constant:
             return
-        number = self.numbers(self.example)
         pairs: list[tuple[Shape, Shape]] = []
         match(self.example, shape([tree]), pairs)
         above = {id(x) for body in bodies for x in _up(body)}
         inside = {id(body) for body in bodies}
         for mine, other in pairs:
-            if number[id(mine)] in self.constant:
+            if self.number[id(mine)] in self.constant:
                 for node in other.nodes:
                     prose = node.tag in PROSE and any(id(x) in inside for x in _up(node))
                     node.constant = id(node) not in above and not prose
@@ -352,14 +372,25 @@ def _up(node: Node):
         node = node.parent
 
 
+def read(page: str) -> tuple[Node, list[Node]]:
+    """A page's tree and its content elements."""
+    tree = parse(page)
+    return tree, content_roots(tree)
+
+
+def main_text(wrapper: Wrapper, tree: Node, bodies: list[Node]) -> str:
+    wrapper.mark(tree, bodies)
+    return "\n\n".join(t for root in bodies or [tree] for t, _ in blocks(root))
+
+
 def main_texts(pages: list[str]) -> list[str]:
     """The main texts of pages of one host."""
-    trees = [parse(p) for p in pages]
-    roots = [content_roots(t) for t in trees]
-    wrapper = Wrapper(trees)
-    for tree, bodies in zip(trees, roots, strict=True):
-        wrapper.mark(tree, bodies)
-    return ["\n\n".join(t for root in bodies or [tree] for t, _ in blocks(root)) for tree, bodies in zip(trees, roots, strict=True)]
+    trees = [read(p) for p in pages]
+    wrapper = Wrapper()
+    for tree, _ in trees:
+        wrapper.add(tree)
+    wrapper.close()
+    return [main_text(wrapper, tree, bodies) for tree, bodies in trees]
 
 
 def host() -> Column:
@@ -374,25 +405,54 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     salted = rows.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int"))
 
     def run(batches):
-        now, held, size = None, [], 0
+        now, held, size, file, wrapper = None, [], 0, None, None
 
-        def close():
-            texts = main_texts([h for _, _, h in held])
+        def result(ids, texts):
             return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in held], pa.int64()), pa.array([u for _, u, _ in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                [pa.array([i for i, _ in ids], pa.int64()), pa.array([u for _, u in ids], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
+        def spill():
+            for row in held:
+                wrapper.add(read(row[2])[0])
+                pickle.dump(row, file)
+
+        def close():
+            if file is None:
+                yield result([x[:2] for x in held], main_texts([t for _, _, t in held]))
+                return
+            spill()
+            wrapper.close()
+            end = file.tell()
+            file.seek(0)
+            ids, texts, n = [], [], 0
+            while file.tell() < end:
+                i, u, t = pickle.load(file)
+                ids.append((i, u))
+                texts.append(main_text(wrapper, *read(t)))
+                n += len(texts[-1])
+                if n > HELD or len(ids) >= 4 * group:
+                    yield result(ids, texts)
+                    ids, texts, n = [], [], 0
+            if ids:
+                yield result(ids, texts)
+            file.close()
+
         for batch in batches:
             for h, s, i, u, t in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "page_id", "url", "html")), strict=True):
-                # a group that is larger than it should be by chance is closed early: memory stays bounded
-                if held and (now != (h, s) or len(held) >= 4 * group or size > 1 << 24):
-                    yield close()
+                if held and now != (h, s):
+                    yield from close()
+                    held, size, file, wrapper = [], 0, None, None
+                elif held and (size > HELD or len(held) >= 4 * group):  # memory stays bounded, the group stays whole
+                    if file is None:
+                        file, wrapper = tempfile.TemporaryFile(), Wrapper()
+                    spill()
                     held, size = [], 0
                 now = (h, s)
                 held.append((i, u, t))
                 size += len(t)
         if held:
-            yield close()
+            yield from close()
 
     return salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").select("host", "salt", "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -120,6 +120,17 @@ def test_all_articles_are_kept():
     assert html_extract.main_texts(["<div>menu</div><article><p>one</article><div class=x><article><p>two<article>in two</article></article></div>", "<p>out</p><main><p>before</p><article>three</article></main>"]) == ["one\n\ntwo\n\nin two", "before\n\nthree"]
 
 
+def test_large_pages_have_the_same_wrapper(spark):
+    def page(i, filler):
+        return f"<body><div><span>The site</span></div><!-- {filler} --><div class=c><p>text {i}</p></div><div class=d>All rights</div></body>"
+
+    def texts(filler):
+        rows = [(i, "http://h.example.com/", page(i, filler)) for i in range(9)]
+        return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    assert texts("x") == texts("x" * 6_000_000) == {i: f"text {i}" for i in range(9)}
+
+
 def test_tree_matching():
     a, b = (html_extract.shape([html_extract.parse(p)]) for p in ("<div><p>1<ul><li>2</ul></div>", "<div><h1>t</h1><p>1<p>2<ul><li>2<li>3</ul></div>"))
     pairs: list = []
