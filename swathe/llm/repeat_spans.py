@@ -6,8 +6,9 @@ smaller doc_id or earlier in the same document. Strings are judged on the input.
 A suffix array over the whole corpus would sort every position. Here positions are first dealt to
 small buckets, as in a bucketed suffix sort: the window of LENGTH bytes that starts at a position
 belongs to the smallest k-gram hash in it (its anchor), which is the same wherever the window
-occurs. A run of neighbouring windows with one anchor is one row, named by the anchor's hash and
-by a hash of all bytes the run covers.
+occurs. A run of neighbouring windows with one anchor is one row, named by the anchor's polynomial
+hash and by 64 bits of a BLAKE2 digest of all bytes the run covers. The two are independent, so
+rows of one name are equal but for a chance of 2**-64 for each two runs of one anchor.
 
 1. Rows of one name are copies: all but the first are removed whole. Inside a task such copies
    are met before the shuffle, so a passage that every document holds costs a row per task.
@@ -16,7 +17,8 @@ by a hash of all bytes the run covers.
    extension, which binary search over prefix polynomial hashes finds. Neighbours that agree
    over LENGTH bytes are verified byte by byte.
 3. An anchor that a sketch of fixed size calls hot would make a bucket too large for one task:
-   its windows are dealt by a hash of all their bytes instead, each a bucket of its own.
+   its windows are dealt by a hash of all their bytes instead, each a bucket of its own, and named
+   by the digest of these bytes.
 
 Edge cases: null or empty texts have no bytes and nothing removed; texts shorter than LENGTH keep
 everything. Rows with equal doc_id and text count as one document and all get its result; equal
@@ -45,13 +47,22 @@ HOT_ROWS, HOT_FACTOR = 2048, 8
 PIECE = 1 << 19
 NO_ID = -(1 << 63)
 U = np.uint64
-ROW = "kind int, key long, name long, doc long, ver int, lo int, span int"
+ROW = "kind int, key long, name long, doc long, ver int, lo int, span long"
 
 
-def anchors(data: np.ndarray, offs: np.ndarray):
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """64 bits of a BLAKE2 digest of each range of bytes and of its anchor's distance."""
+    raw = memoryview(np.ascontiguousarray(data))
+    blake = hashlib.blake2b
+    out = b"".join([blake(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, np.uint64) + off.astype(np.uint64) * K.PLACE[5]
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, strong: bool = True):
     """Runs of windows with a common anchor: arrays (text, lo, n, off, key, name), where ``lo`` is
     the first window's start in its text, ``n`` the number of windows and ``off`` the anchor's
-    distance from ``lo``; then the prefix hashes and the runs' absolute starts."""
+    distance from ``lo``; then the prefix hashes and the runs' absolute starts. Names are digests if
+    ``strong``, polynomial hashes otherwise (to count runs)."""
     pre = K.prefix(data)
     _, inv = K.powers(len(pre))
     n = len(data)
@@ -81,7 +92,8 @@ def anchors(data: np.ndarray, offs: np.ndarray):
         count = np.diff(np.append(i, len(s)))
         start = s[i]
         key = h[at[i] - a]
-        name = K.mix(K.span_hash(pre, start, start + count + LENGTH - 1) + (at[i] - start).astype(np.uint64) * K.PLACE[5])
+        end = start + count + LENGTH - 1
+        name = digests(data, start, end, at[i] - start) if strong else K.span_hash(pre, start, end)
         out.append((text[i], start - offs[text[i]], count, at[i] - start, key, name, start))
     if not out:
         z = np.zeros(0, np.int64)
@@ -90,13 +102,14 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     return t, lo, c, o, key, name, pre, start
 
 
-def _runs(batch: pa.RecordBatch):
-    """``anchors`` of each chunk of a batch, with the documents' keys."""
+def _runs(batch: pa.RecordBatch, strong: bool = True):
+    """``anchors`` of each chunk of a batch, with the documents' keys and the chunk's bytes."""
     doc = batch.column("doc").to_numpy()
     ver = batch.column("ver").to_numpy()
     data, offs = K.strings(batch.column("text"))
     for lo, hi in K.chunks(offs, PIECE):
-        yield doc[lo:hi], ver[lo:hi], anchors(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        part = data[offs[lo] : offs[hi]]
+        yield doc[lo:hi], ver[lo:hi], part, anchors(part, offs[lo : hi + 1] - offs[lo], strong)
 
 
 def hot_buckets(docs: DataFrame) -> bytes:
@@ -105,7 +118,7 @@ def hot_buckets(docs: DataFrame) -> bytes:
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for _, _, (_, _, _, _, key, name, _, _) in _runs(batch):
+            for _, _, _, (_, _, _, _, key, name, _, _) in _runs(batch, strong=False):
                 first = np.unique(K.mix(key ^ (name * U(5))), return_index=True)[1]
                 total += np.bincount((key[first] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         i = np.flatnonzero(total)
@@ -134,7 +147,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def emit(batches):
         hot = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for doc, ver, (text, lo, n, off, key, name, pre, start) in _runs(batch):
+            for doc, ver, data, (text, lo, n, off, key, name, pre, start) in _runs(batch):
                 if not len(text):
                     continue
                 span = (n << 8) | off
@@ -143,7 +156,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     i = np.repeat(np.flatnonzero(is_hot), n[is_hot])
                     j = np.arange(len(i)) - np.repeat(np.cumsum(n[is_hot]) - n[is_hot], n[is_hot])
                     s = start[i] + j
-                    more = (text[i], lo[i] + j, np.full(len(i), 1 << 8), K.mix(K.span_hash(pre, s, s + LENGTH) + K.PLACE[4]), np.zeros(len(i), np.uint64))
+                    more = (text[i], lo[i] + j, np.full(len(i), 1 << 8), K.mix(K.span_hash(pre, s, s + LENGTH) + K.PLACE[4]), digests(data, s, s + LENGTH, s * 0))
                     text, lo, span, key, name = (np.concatenate([x[~is_hot], y]) for x, y in zip((text, lo, span, key, name), more, strict=True))
                 rank = np.empty(len(doc), np.int64)
                 rank[np.lexsort((ver, doc))] = np.arange(len(doc))
@@ -234,7 +247,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ends = seen.where("kind = 2").groupBy("doc", "ver").agg(F.collect_list(F.struct("key", "lo", "span")).alias("runs"))
     found = (
         once.join(ends, ["doc", "ver"])
-        .mapInArrow(cut_out, "key long, doc long, ver int, lo int, span int, bytes binary")
+        .mapInArrow(cut_out, "key long, doc long, ver int, lo int, span long, bytes binary")
         .repartition("key")
         .sortWithinPartitions("key", "doc", "ver", "lo")
         .mapInArrow(sort_buckets, "doc long, ver int, lo int, size int")
@@ -277,7 +290,7 @@ def _row(kind: int, key, name, doc, ver, lo, span) -> dict:
         "doc": doc,
         "ver": np.asarray(ver, np.int32),
         "lo": np.asarray(lo, np.int32),
-        "span": np.asarray(span, np.int32),
+        "span": np.asarray(span, np.int64),
     }
 
 
@@ -320,7 +333,7 @@ def _repeats(t: pa.Table):
     row, j = row[equal], j[equal]
     if len(row):
         rows, inverse = np.unique(row, return_inverse=True)
-        lo = np.full(len(rows), 1 << 20)
+        lo = np.full(len(rows), 1 << 40)
         hi = np.zeros(len(rows), np.int64)
         np.minimum.at(lo, inverse, j)
         np.maximum.at(hi, inverse, j)

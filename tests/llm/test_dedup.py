@@ -101,6 +101,24 @@ def test_hot_anchors_give_the_same_rows(documents, monkeypatch):
     assert run_repeats(documents, rows) == brute_repeats(rows)
 
 
+def test_repeats_in_a_very_long_text(documents):
+    rows = [(1, "x" * 9_000_000), (2, "y" + "x" * 200)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.remove_repeats(documents(rows)).drop("kept").collect()}
+    assert got[1] == (9_000_000, 8_999_999, 1, hashlib.sha256(b"x").hexdigest())
+    assert got[2] == (201, 200, 1, hashlib.sha256(b"y").hexdigest())
+
+
+def test_names_tell_runs_apart_that_share_their_polynomial_hashes(documents, monkeypatch):
+    """Only the anchors' hashes collide here; digests keep the runs apart, the sort compares bytes."""
+    real = K.span_hash
+    monkeypatch.setattr(K, "span_hash", lambda pre, a, b: real(pre, a, b) & np.uint64(3))
+    rows = [(i, prose(700 + i, 40) + " " + prose(6, 30)) for i in range(6)]
+    found = [repeat_spans.anchors(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for _, t in rows]
+    text = {(k, n): t.encode()[s : s + c + 99] for (_, t), (_, _, count, _, key, name, _, start) in zip(rows, found, strict=True) for k, n, c, s in zip(key, name, count, start, strict=True)}
+    for (_, t), (_, _, count, _, key, name, _, start) in zip(rows, found, strict=True):
+        assert all(text[k, n] == t.encode()[s : s + c + 99] for k, n, c, s in zip(key, name, count, start, strict=True))
+
+
 def test_suffix_sort_orders_suffixes():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
