@@ -36,21 +36,79 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 SEPARATORS = " ._-*~'`^"
 COST = {"own": 0.0, "read": -0.7, "skip": -0.4, "again": -0.1}
 LETTERS = 27
+#: Steps of a lattice between kept scores.
+STRIDE = 512
+REPEATED = re.compile(r"([a-z])\1{2,}")
 U = np.uint64
 
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _SIGN = rb"0-9@$!|*+#(<"
+# Each alternative starts only where its run of bytes starts, so a scan is linear in the text.
 SPELLING = re.compile(
     rb"(?<![A-Za-z0-9\x80-\xff])(?:[A-Za-z@$!0-9][ ._\-*~]){3,}[A-Za-z@$!0-9](?![A-Za-z0-9\x80-\xff])"  # letters set apart
-    rb"|[A-Za-z" + _SIGN + rb"]*[A-Za-z][" + _SIGN + rb"]+[A-Za-z][A-Za-z" + _SIGN + rb"]*"  # signs among letters
+    rb"|(?:(?<![A-Za-z" + _SIGN + rb"])|(?<=[A-Za-z])(?=[" + _SIGN + rb"]))[A-Za-z" + _SIGN + rb"]*[A-Za-z][" + _SIGN + rb"]+[A-Za-z][A-Za-z" + _SIGN + rb"]*"  # signs among letters
     rb"|(?<![A-Za-z0-9\x80-\xff])[0-9@$!|(<][A-Za-z][A-Za-z" + _SIGN + rb"]*"  # a sign, then letters
-    rb"|[A-Za-z]*([A-Za-z])\1\1+[A-Za-z]*"  # repeated letters
-    rb"|[A-Za-z]+(?:[._\-*~][A-Za-z]+)+"  # signs between letters
+    rb"|(?<![A-Za-z])[A-Za-z]*([A-Za-z])\1\1+[A-Za-z]*"  # repeated letters
+    rb"|(?<![A-Za-z])[A-Za-z]+(?:[._\-*~][A-Za-z]+)+"  # signs between letters
 )
 
 
+def _bytes(pattern: bytes) -> np.ndarray:
+    """Which bytes a character class has."""
+    one = re.compile(rb"[" + pattern + rb"]")
+    return np.array([bool(one.match(bytes([i]))) for i in range(256)])
+
+
+_LETTER, _SIGNS, _LEAD = _bytes(rb"A-Za-z"), _bytes(_SIGN), _bytes(rb"0-9@$!|(<")
+_ALONE, _JOINT, _WORDY = _bytes(rb"A-Za-z@$!0-9"), _bytes(rb" ._\-*~"), _bytes(rb"A-Za-z0-9\x80-\xff")
+
+
+def candidates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the zones (whole tokens between spaces, never across texts) in which
+    SPELLING can match; outside it cannot. Byte classes decide, in a fixed number of passes."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    d = np.zeros(n + 4, np.uint8)
+    d[2:-2] = data  # a zero byte belongs to no class
+    letter, wordy = _LETTER[d], _WORDY[d]
+    here = letter[2:-2]
+    hit = np.zeros(n, bool)
+    # three equal letters; a joint between letters; a leading sign before a letter
+    hit |= here & (d[1:-3] == d[2:-2]) & (d[3:-1] == d[2:-2])
+    hit |= _JOINT[data] & (data != 32) & letter[1:-3] & letter[3:-1]
+    hit |= _LEAD[data] & ~wordy[1:-3] & letter[3:-1]
+    # signs between letters
+    sign = _SIGNS[data]
+    begin = np.flatnonzero(sign & ~np.concatenate([[False], sign[:-1]]))
+    end = np.flatnonzero(sign & ~np.concatenate([sign[1:], [False]]))
+    both = letter[begin + 1] & letter[end + 3]
+    hit[begin[both]] = True
+    # two lone characters around one joint
+    alone = _ALONE[d[2:-2]] & ~wordy[1:-3] & ~wordy[3:-1]
+    two = np.flatnonzero(alone[:-2] & _JOINT[data[1:-1]] & alone[2:]) if n > 2 else np.zeros(0, np.int64)
+    hit[two] = hit[two + 2] = True
+    # a text's first or last byte has neighbours of another text: such a token is looked at anyway
+    at = offs[:-1][np.diff(offs) > 0]
+    hit[at] = True
+    hit[offs[1:][np.diff(offs) > 0] - 1] = True
+    at = np.flatnonzero(hit)
+    blank = np.flatnonzero((data == 32) | edge[:n])
+    # token: from after the last blank (or a text's start) to the next one
+    k = np.searchsorted(blank, at, "right") - 1
+    low = np.where(k >= 0, blank[np.maximum(k, 0)], 0)
+    low = np.where((data[low] == 32) & (low < at), low + 1, low)
+    high = np.append(blank, n)[np.searchsorted(blank, at, "right")]
+    new = np.ones(len(at), bool)
+    new[1:] = (low[1:] > high[:-1] + 1) | (edge[low[1:]] & (low[1:] != low[:-1]))
+    first = np.flatnonzero(new)
+    return low[first], np.maximum.reduceat(high, first) if len(first) else high
+
+
 def letter_codes() -> np.ndarray:
     code = np.zeros(256, np.int64)
     code[97:123] = np.arange(1, 27)
@@ -85,70 +143,101 @@ def trigram_model(docs: DataFrame) -> np.ndarray:
     return np.log((n + 8 * back[None]) / (n.sum(2, keepdims=True) + 8))
 
 
-def decode(spelling: str, model: np.ndarray) -> str:
-    """The likeliest word for a spelling: Viterbi over states (last two letters)."""
-    low = spelling.lower()
-    score = np.full((LETTERS, LETTERS), -np.inf)
-    score[0, 0] = 0.0
-    steps = []
-    for i, ch in enumerate(low):
-        arcs: list[tuple[int, float]] = []  # letter (0: nothing) and cost
-        if "a" <= ch <= "z":
-            same = i > 0 and low[i - 1] == ch
-            arcs.append((ord(ch) - 96, COST["again"] if same else COST["own"]))
-            if same:
-                arcs.append((0, COST["own"]))
-        else:
-            arcs += [(ord(x) - 96, COST["read"]) for x in READINGS.get(ch, "")]
-            if ch in SEPARATORS or not arcs or (i > 0 and low[i - 1] == ch):
-                arcs.append((0, COST["skip"]))
-        best = np.full((LETTERS, LETTERS), -np.inf)
-        came = np.zeros((LETTERS, LETTERS, 2), np.int8)
-        for letter, cost in arcs:
-            if letter:
-                step = score + model[:, :, letter] + cost
-                a = step.argmax(0)
-                new = step[a, np.arange(LETTERS)]
-                better = new > best[:, letter]
-                best[better, letter] = new[better]
-                came[better, letter, 0], came[better, letter, 1] = a[better], 1
-            else:
-                new = score + cost
-                better = new > best
-                best[better] = new[better]
-                came[better, 1] = 0
-        steps.append(came)
-        score = best
-    score = score + model[:, :, 0]
-    b, c = np.unravel_index(int(score.argmax()), score.shape)
+def _arcs(low: str, i: int) -> list[tuple[int, float]]:
+    """What the character at ``i`` can stand for: letters (0: nothing) and their costs."""
+    ch, same = low[i], i > 0 and low[i - 1] == low[i]
+    if "a" <= ch <= "z":
+        return [(ord(ch) - 96, COST["again"]), (0, COST["own"])] if same else [(ord(ch) - 96, COST["own"])]
+    arcs = [(ord(x) - 96, COST["read"]) for x in READINGS.get(ch, "")]
+    if ch in SEPARATORS or not arcs or same:
+        arcs.append((0, COST["skip"]))
+    return arcs
+
+
+def _step(score: dict[int, float], arcs: list[tuple[int, float]], model: list[float], came: dict[int, tuple[int, int]]) -> dict[int, float]:
+    """One Viterbi step over the live states (last two letters); ``came`` takes the way back."""
+    best: dict[int, float] = {}
+    for letter, cost in arcs:
+        for s, v in score.items():
+            to = s % LETTERS * LETTERS + letter if letter else s
+            w = v + cost + (model[s * LETTERS + letter] if letter else 0.0)
+            if to not in best or w > best[to]:
+                best[to] = w
+                came[to] = (s, letter)
+    return best
+
+
+def _viterbi(low: str, begin: int, end: int, state: int, model: list[float], last: bool) -> str:
+    """The likeliest letters of the lattice of ``low[begin:end]`` from a state; ``last``: the word ends
+    with it. Scores are kept at every STRIDE-th step only and the steps between made again on the
+    way back, so memory grows with a small part of the length."""
+    score = {state: 0.0}
+    kept = []
+    for i in range(begin, end):
+        if (i - begin) % STRIDE == 0:
+            kept.append(score)
+        score = _step(score, _arcs(low, i), model, {})
+    at = max(sorted(score), key=lambda s: score[s] + (model[s * LETTERS] if last else 0.0))
     out = []
-    for came in reversed(steps):
-        a, moved = came[b, c]
-        if moved:
-            out.append(chr(96 + c))
-            b, c = int(a), b
+    for block in range(len(kept) - 1, -1, -1):
+        score, ways = kept[block], []
+        first = begin + block * STRIDE
+        for i in range(first, min(end, first + STRIDE)):
+            ways.append({})
+            score = _step(score, _arcs(low, i), model, ways[-1])
+        for came in reversed(ways):
+            at, letter = came[at]
+            if letter:
+                out.append(chr(96 + letter))
     return "".join(reversed(out))
 
 
+def decode(spelling: str, model: np.ndarray) -> str:
+    """The likeliest word for a spelling, by Viterbi decoding over states (last two letters).
+
+    Of a letter repeated more than twice only two change a state, so the rest is left out first. Two
+    plain letters in a row leave one state alive; there the lattice falls apart into pieces
+    that are decoded one by one, with the same result."""
+    low = REPEATED.sub(r"\1\1", spelling.lower())
+    flat = model.ravel().tolist() if isinstance(model, np.ndarray) else model
+    plain = [("a" <= ch <= "z") and (i == 0 or low[i - 1] != ch) for i, ch in enumerate(low)]
+    out: list[str] = []
+    state = begun = 0
+    for i, ch in enumerate(low):
+        if plain[i] and (i == 0 or plain[i - 1]):
+            out.append(ch if i == begun else _viterbi(low, begun, i + 1, state, flat, False))
+            state, begun = (ord(low[i - 1]) - 96 if i else 0) * LETTERS + ord(ch) - 96, i + 1
+    if begun < len(low):
+        out.append(_viterbi(low, begun, len(low), state, flat, True))
+    return "".join(out)
+
+
 class Restorer:
     """Replaces obfuscated spellings in texts; remembers what it has decoded."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known = model.ravel().tolist(), {}
 
     def word(self, m: re.Match) -> bytes:
         raw = m.group()
         if raw not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            parts = [raw[i : i + 64] for i in range(0, len(raw), 64)]
-            self.known[raw] = b"".join(decode(p.decode("ascii"), self.model).encode() for p in parts)
+            self.known[raw] = decode(raw.decode("ascii"), self.model).encode()
         return self.known[raw]
 
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        out = [SPELLING.sub(self.word, raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+        out, at, grown = [], 0, np.zeros(len(offs), np.int64)
+        starts, ends = candidates(data, offs)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            new = SPELLING.sub(self.word, raw[a:b])
+            if len(new) != b - a or new != raw[a:b]:
+                out += [raw[at:a], new]
+                at = b
+                grown[np.searchsorted(offs, a, "right")] += len(new) - (b - a)
+        out.append(raw[at:])
+        return np.frombuffer(b"".join(out), np.uint8), offs + np.cumsum(grown)
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

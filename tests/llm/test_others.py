@@ -228,6 +228,60 @@ def test_deobfuscation(spark):
     assert restore("the end. A b c") == "the end. A b c"
 
 
+def test_decoding_finds_the_best_path(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.ones(27), (27, 27)))
+
+    def best(low):
+        paths = {(0, 0): [(0.0, "")]}
+        for i in range(len(low)):
+            new: dict = {}
+            for letter, cost in toxicity._arcs(low, i):
+                for (b, c), found in paths.items():
+                    for v, out in found:
+                        to, w = ((c, letter), v + cost + model[b, c, letter]) if letter else ((b, c), v + cost)
+                        new.setdefault(to, []).append((w, out + chr(96 + letter) if letter else out))
+            paths = new
+        return max((v + model[b, c, 0], out) for (b, c), found in paths.items() for v, out in found)[1]
+
+    for stride in (512, 2):
+        monkeypatch.setattr(toxicity, "STRIDE", stride)
+        for s in ("1d10t", "aab@@cd", "h6ll0", "x-y_z", "aaa", "$tupp!d", "b", "66", "a1b2cc", "ab*cd*"):
+            assert toxicity.decode(s, model) == best(s)
+    assert toxicity.decode("a" * 500, model) == toxicity.decode("aaa", model)
+
+
+def test_long_unbroken_texts_are_scanned_in_linear_time():
+    import time
+
+    restorer = toxicity.Restorer(np.log(np.full((27, 27, 27), 1 / 27)))
+    began = time.perf_counter()
+    for part in (b"x", b"abcdefgh", b"ab1", b"a-"):
+        raw = np.frombuffer(part * (1_000_000 // len(part)), np.uint8)[:200_000 if part == b"a-" else 1_000_000]
+        out, offs = restorer.texts(raw, np.array([0, len(raw)]))
+        assert offs[-1] == len(out)
+    assert time.perf_counter() - began < 120
+
+
+def test_candidates_hold_every_spelling():
+    rng = np.random.default_rng(4)
+    restorer = toxicity.Restorer(np.log(np.full((27, 27, 27), 1 / 27)))
+    letters = np.frombuffer("aabcdei01$@!*. -_#(é\n".encode(), np.uint8)
+    for _ in range(800):
+        sizes = rng.integers(0, 30, 4)
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        data = rng.choice(letters, offs[-1])
+        out, at = restorer.texts(data, offs)
+        for i in range(4):
+            assert out[at[i] : at[i + 1]].tobytes() == toxicity.SPELLING.sub(restorer.word, data[offs[i] : offs[i + 1]].tobytes())
+
+
+def test_toxicity_columns_of_the_same_name_are_replaced(spark, documents):
+    df = documents([(1, "x" * 5000), (2, "good words")]).withColumn("score", F.lit("old")).withColumn("predicted", F.lit("old"))
+    out = toxicity.score(df, spark.createDataFrame([(2, 0)], "doc_id long, toxic int")).collect()
+    assert len(out) == 2 and all(isinstance(r.score, float) and r.predicted == 0 for r in out)
+
+
 def test_toxicity_scores(spark, documents, awkward):
     rows = [(100 + i, prose(i, 30) + (" idiot moron " if i % 4 == 0 else " ") + prose(i + 999, 5)) for i in range(200)] + awkward
     labels = spark.createDataFrame([(100 + i, int(i % 4 == 0)) for i in range(200)] + [(1, None), (None, 1)], "doc_id long, toxic int")
