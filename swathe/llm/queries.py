@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_to_targets": mixing.sql()}
+    return {"op6_mix_to_targets": mixing.sql(), "op7_line_alignment_dedup": line_dedup.sql()}

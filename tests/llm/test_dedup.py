@@ -5,9 +5,11 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from helpers import prose
 
-from swathe.llm import line_dedup, near_dedup, ngram_join, repeat_spans
+from swathe.llm import line_dedup, near_dedup, ngram_join, queries, repeat_spans
 from swathe.llm import kernels as K
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -195,6 +197,85 @@ def test_large_groups_are_found_by_passages_single_lines_and_parted_paragraphs(d
         assert out[200 + i].text.strip() == f"number {i} has this last line"
 
 
+def expected_lines(rows):
+    """All pairs, all common runs: the lines that stay of each (doc_id, text)."""
+    kept = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        solid = [k for k, x in enumerate(lines) if x.strip(" \t\r\v\f")]
+        gone: set[int] = set()
+        for j, other in rows:
+            if i is None or j is None or j >= i:
+                continue
+            theirs = [x for x in (other or "").split("\n") if x.strip(" \t\r\v\f")]
+            for a, b in itertools.product(range(len(solid)), range(len(theirs))):
+                n = 0
+                while a + n < len(solid) and b + n < len(theirs) and lines[solid[a + n]] == theirs[b + n]:
+                    n += 1
+                size = sum(len(lines[k].encode()) for k in solid[a : a + n])
+                if n > 1 and size >= 20 or n and len(theirs[b].encode()) >= 100 or len(solid) == len(theirs) == n == 1 and size >= 20:
+                    if n == 1 or size >= 20:
+                        gone |= set(range(solid[a], solid[a + n - 1] + 1))
+        kept.append((i, text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return sorted(kept, key=str)
+
+
+def generated_lines(rng, copies):
+    """Documents of shared, moved, short, blank and own lines, one-liners, and groups of copies."""
+    pool = [prose(int(x), 1 + int(x) % 14)[: int(rng.integers(3, 140))] for x in rng.integers(0, 10_000, 14)] + ["", " ", "x", "ab"]
+    rows = []
+    for i in range(12):
+        parts = [pool[int(x)] if x < len(pool) else prose(int(x) + 99 * i, 9) for x in rng.integers(0, len(pool) + 6, int(rng.integers(1, 14)))]
+        rows.append((int(rng.integers(0, 900)), "\n".join(parts)))
+    group = "\n\n".join(prose(3000 + k, 8) for k in range(4))
+    rows += [(1000 + i, group) for i in range(copies)] + [(3000 + i, "one line of this group") for i in range(copies)]
+    rows += [(5000 + i, f"{prose(i, 9)}\nthe same short line of text\n{prose(i + 50, 9)}") for i in range(copies)]
+    return rows
+
+
+def test_line_dedup_equals_all_pairs_in_groups_of_any_size(documents, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 12)
+    for seed, copies in enumerate((2, 8, 9, 30)):
+        rows = generated_lines(np.random.default_rng(seed), copies)
+        got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(rows)).collect()), key=str)
+        if len({i for i, _ in rows}) == len(rows):
+            assert got == expected_lines(rows)
+        unique = list({i: (i, t) for i, t in rows}.values())
+        got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(unique)).collect()), key=str)
+        assert got == expected_lines(unique)
+
+
+def test_every_copy_of_a_thousand_loses_the_same(documents):
+    text = "\n\n".join(prose(40 + k, 8) for k in range(6))
+    rows = [(i, text) for i in range(1000)] + [(2000 + i, "a document of one line") for i in range(1000)]
+    out = line_dedup.dedup_lines(documents(rows)).groupBy("removed_lines").count().collect()
+    assert {r.removed_lines: r["count"] for r in out} == {0: 2, 11: 999, 1: 999}
+
+
+def test_alignment_finds_moved_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    for moves in (8, 0):
+        monkeypatch.setattr(line_dedup, "MOVES", moves)
+        for _ in range(150):
+            text = {i: "x" * int(s) + str(i) for i, s in enumerate(rng.choice([2, 5, 12, 30, 110], 7))}
+            a, b = ("\n".join(text[int(x)] for x in rng.integers(0, 7, rng.integers(1, 12))) for _ in "ab")
+            raw = [K.strings(pa.array([t])) for t in (a, b)]
+            (ha, _, _), (hb, size, _) = (line_dedup.solid_lines(*r) for r in raw)
+            gone = line_dedup.common_lines(ha, hb, size)
+            kept = "\n".join(x for k, x in enumerate(b.split("\n")) if 2 * k not in gone)
+            assert (2, kept if gone else b) in expected_lines([(1, a), (2, b)])
+
+
+def test_line_dedup_equals_its_sql(spark, documents, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = list({i: (i, t) for i, t in generated_lines(np.random.default_rng(77), 9)}.values()) + [(9000, None), (9001, ""), (9002, "é" * 60)]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(line_dedup.sql()).fetchall())
+    assert sorted(tuple(r) for r in queries.op7_line_alignment_dedup(spark, str(tmp_path)).collect()) == want
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep long, v string")
 
