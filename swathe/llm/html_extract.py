@@ -11,10 +11,12 @@ and id words count as whole tokens, and not on html, body, main, an outermost ar
 content element lies in), and if the page has article or main elements the content lies in them, in all that are outermost. Induction then decides what is
 left: constant slots of the host go, inside an article too unless they are running text.
 
-Pages are dealt by host and a salt, so that a task holds at most about GROUP pages of a host at a
-time; each such group has its example page (the first) and its own wrapper. A group with fewer
-than MIN_PAGES different pages has no wrapper: nothing is constant there. The pages of a group with
-more than HELD characters go to a temporary file while its wrapper is made, and are read again.
+The wrapper of a host is induced from TRAINING different pages, those with the smallest hashes, and
+is one for all its pages; a page's slot is template only if it holds the very text that the
+training pages share. Pages are dealt by host and a salt, about GROUP to a task, sorted by hash: so a
+host of one salt meets its training pages first. For a host of several salts they are gathered in a
+pass of their own, and the wrapper travels to each salt. Fewer than MIN_PAGES different pages tell
+nothing about what is constant: such a host has no template.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own; html without
 any markup is one block; broken markup is read as browsers do in outline (void elements, implied
@@ -26,9 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
-import pickle
+import json
 import re
-import tempfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,13 +40,15 @@ from .common import materialize
 
 GROUP = 256
 MIN_PAGES = 4
-#: Characters of a group's pages held in memory, or of a batch of results.
+#: Different pages of a host that its wrapper is induced from.
+TRAINING = 64
+#: Characters of a batch of results.
 HELD = 1 << 24
+#: Depth of a tree below which nodes are not aligned.
+DEPTH = 100
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
-    re.S,
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -58,8 +62,8 @@ BLOCK = {
 }
 #: Elements that never hold main text.
 NEVER = {
-    "script", "style", "noscript", "template", "head", "title", "nav", "footer", "header", "aside", "form", "button", "select", "option", "input", "textarea", "label", "iframe", "object", "embed",
-    "svg", "canvas", "video", "audio", "dialog", "menu", "map", "noembed", "noframes", "fieldset", "search", "datalist", "output", "progress", "meter", "math",
+    "script", "style", "noscript", "template", "head", "title", "nav", "footer", "header", "aside", "form", "button", "select", "option", "input", "textarea", "iframe", "object", "embed",
+    "svg", "canvas", "video", "audio", "dialog", "menu", "noembed", "noframes", "fieldset", "search", "datalist", "output", "progress", "meter",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
 #: Elements that class and id words do not make boilerplate; an article inside another one they do.
@@ -116,32 +120,62 @@ def _marks(attributes: str) -> tuple[str, bool, bool]:
     return mark, never, named
 
 
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the > of a tag stands whose name ends at ``at``, outside quotes if it can be; there is
+    one. ``dead`` holds the quotes from which no such > is met: each is passed once only, so
+    the scans of a page are linear together."""
+    begin, passed = at, []
+    while True:
+        m = STOP.search(page, at)
+        if m is None or m.start() in dead:
+            break
+        if m[0] == ">":
+            return m.start()
+        passed.append(m.start())
+        close = page.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(passed)
+    return page.find(">", begin)
+
+
 def parse(page: str) -> Node:
     """The page's tree; children are nodes and strings (character references still undecoded)."""
     root = here = Node("#root")
     at, n = 0, len(page)
+    final = page.rfind(">")
+    dead: set[int] = set()
+    opened: dict[str, int] = {}  # how many elements of a name were opened and not ended by name
     while at < n:
         m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2] or m[5]
+        tag, begin = m[2], m.end()
         if tag is None:
-            text = m[0]
+            at, text = begin, m[0]
             if text[0] != "<" or text == "<":
                 here.children.append(text)
             elif text.startswith("<![CDATA["):
                 here.children.append(html_lib.escape(text[9:-3]))
             continue
+        if begin > final:  # no tag ends any more
+            here.children.append(page[at:])
+            break
+        end = tag_end(page, begin, dead)
+        at = end + 1
         tag = tag.lower()
-        attributes = m[3] if m[2] else m[6]
-        if m[1] or m[4]:
-            if tag in ("br", "p") and tag == "br":
+        attributes = page[begin:end]
+        if m[1]:
+            if tag == "br":
                 here.children.append(Node("br", parent=here))
                 continue
+            if not opened.get(tag):
+                continue
             node = here
             while node is not root and node.tag != tag and not (tag not in BLOCK and node.tag in BLOCK):
                 node = node.parent
             if node is not root and node.tag == tag:
                 here = node.parent
+                opened[tag] -= 1
             continue
         if tag in ("html", "body") and any(_open(here, tag)):
             continue
@@ -176,6 +210,7 @@ def parse(page: str) -> Node:
             continue
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             here = node
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -260,7 +295,7 @@ class Shape:
 def shape(nodes: list[Node], depth: int = 0) -> Shape:
     out = Shape((nodes[0].tag, nodes[0].mark))
     out.nodes = nodes
-    if depth > 60:
+    if depth > DEPTH:
         return out
     runs: list[list[Node]] = []
     for node in nodes:
@@ -306,41 +341,51 @@ def _text(nodes: list[Node]) -> str:
     return "\n".join(t for x in nodes for t, _ in blocks(x))
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 class Wrapper:
-    """The template of a group of pages, aligned with its first page. Pages are added one by one;
-    of each only digests of its texts are kept."""
+    """The template of a host, aligned with an example page. Training pages are added one by one; of
+    each only digests of its texts are kept."""
 
-    def __init__(self):
+    def __init__(self, page: str = "", constant: dict[int, str] | None = None):
+        self.page = page
         self.example: Shape | None = None
-        self.bodies: set[bytes] = set()
+        self.bodies: set[str] = set()
         self.number: dict[int, int] = {}
         self.seen: dict[int, list] = {}  # by node of the example: the text's digest (None: it varies) and how many pages have one
+        self.constant: dict[int, str] = constant or {}
+        if constant:
+            self.align_with(parse(page))
 
-    def add(self, tree: Node) -> None:
+    def align_with(self, tree: Node) -> None:
+        self.example = shape([tree])
+        self.number = self.numbers(self.example)
+
+    def add(self, page: str, tree: Node | None = None) -> bool:
+        """Takes a training page; whether there are enough."""
+        tree = tree or parse(page)
         body = _digest(_text([tree]))
         if self.example is None:
-            self.example = shape([tree])
-            self.number = self.numbers(self.example)
-        if body in self.bodies:
-            return
-        self.bodies.add(body)
-        pairs: list[tuple[Shape, Shape]] = []
-        match(self.example, shape([tree]), pairs)
-        for mine, other in pairs:
-            text = _text(other.nodes)
-            if text:
-                digest = _digest(text)
-                held = self.seen.setdefault(self.number[id(mine)], [digest, 0])
-                held[0] = held[0] if held[0] == digest else None
-                held[1] += 1
+            self.page = page
+            self.align_with(tree)
+        if body not in self.bodies:
+            self.bodies.add(body)
+            pairs: list[tuple[Shape, Shape]] = []
+            match(self.example, shape([tree]), pairs)
+            for mine, other in pairs:
+                text = _text(other.nodes)
+                if text:
+                    digest = _digest(text)
+                    held = self.seen.setdefault(self.number[id(mine)], [digest, 0])
+                    held[0] = held[0] if held[0] == digest else None
+                    held[1] += 1
+        return len(self.bodies) >= TRAINING
 
     def close(self) -> None:
-        enough = len(self.bodies) >= MIN_PAGES
-        self.constant = {k for k, (digest, n) in self.seen.items() if enough and digest is not None and n >= MIN_PAGES}
+        if len(self.bodies) >= MIN_PAGES:
+            self.constant = {k: digest for k, (digest, n) in self.seen.items() if digest is not None and n >= MIN_PAGES}
 
     @staticmethod
     def numbers(top: Shape) -> dict[int, int]:
@@ -359,11 +404,11 @@ class Wrapper:
         match(self.example, shape([tree]), pairs)
         above = {id(x) for body in bodies for x in _up(body)}
         inside = {id(body) for body in bodies}
-        for mine, other in pairs:
-            if self.number[id(mine)] in self.constant:
-                for node in other.nodes:
-                    prose = node.tag in PROSE and any(id(x) in inside for x in _up(node))
-                    node.constant = id(node) not in above and not prose
+        found = [other for mine, other in pairs if self.constant.get(self.number[id(mine)]) == _digest(_text(other.nodes))]
+        for other in found:
+            for node in other.nodes:
+                prose = node.tag in PROSE and any(id(x) in inside for x in _up(node))
+                node.constant = id(node) not in above and not prose
 
 
 def _up(node: Node):
@@ -384,13 +429,11 @@ def main_text(wrapper: Wrapper, tree: Node, bodies: list[Node]) -> str:
 
 
 def main_texts(pages: list[str]) -> list[str]:
-    """The main texts of pages of one host."""
-    trees = [read(p) for p in pages]
+    """The main texts of pages of one host; the first TRAINING different ones train its wrapper."""
     wrapper = Wrapper()
-    for tree, _ in trees:
-        wrapper.add(tree)
+    any(wrapper.add(p) for p in pages)
     wrapper.close()
-    return [main_text(wrapper, tree, bodies) for tree, bodies in trees]
+    return [main_text(wrapper, *read(p)) for p in pages]
 
 
 def host() -> Column:
@@ -400,59 +443,84 @@ def host() -> Column:
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host().alias("host"))
-    sizes = rows.groupBy("host").count().select("host", F.ceil(F.col("count") / group).cast("int").alias("parts"))
+    rows = rows.withColumn("hash", F.xxhash64("html"))
+    sizes = rows.groupBy("host", "hash").count().groupBy("host").agg(F.ceil(F.sum("count") / group).cast("int").alias("parts"), F.count("*").alias("different"))
     sizes = materialize(sizes, "hosts")  # so that Spark knows how large they are before it deals pages
-    salted = rows.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int"))
 
-    def run(batches):
-        now, held, size, file, wrapper = None, [], 0, None, None
+    def induce(batches):
+        now, wrapper, enough = None, None, False
+        for batch in batches:
+            for h, t in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                if now != h:
+                    if wrapper is not None:
+                        yield _wrapper_row(now, wrapper)
+                    now, wrapper, enough = h, Wrapper(), False
+                enough = enough or wrapper.add(t.as_py())
+        if wrapper is not None:
+            yield _wrapper_row(now, wrapper)
+
+    large = sizes.where("parts > 1")
+    # three times as many pages as train, by the rank of their hash; that fewer than needed pass is out of the question
+    some = rows.join(large, "host").where(F.col("hash") / F.lit(2.0**64) + 0.5 < 3 * TRAINING / F.col("different"))
+    some = some.dropDuplicates(["host", "hash"]).repartition("host").sortWithinPartitions("host", "hash").select("host", "html")
+    wrappers = materialize(some.mapInArrow(induce, "host string, example string, constant string"), "wrappers") if not large.isEmpty() else None
 
-        def result(ids, texts):
+    def run(batches):
+        now, wrapper, ready, held, out, n = None, Wrapper(), False, [], [], 0
+
+        def done(i, u, t):
+            nonlocal n
+            out.append((i, u, main_text(wrapper, *read(t))))
+            n += len(out[-1][2])
+
+        def results():
+            nonlocal n
+            ids, urls, texts = zip(*out, strict=True)
+            out.clear()
+            n = 0
             return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in ids], pa.int64()), pa.array([u for _, u in ids], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
+                [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-        def spill():
-            for row in held:
-                wrapper.add(read(row[2])[0])
-                pickle.dump(row, file)
-
         def close():
-            if file is None:
-                yield result([x[:2] for x in held], main_texts([t for _, _, t in held]))
-                return
-            spill()
+            """The training pages have been met: the wrapper is made, and they are read with it."""
+            nonlocal ready
             wrapper.close()
-            end = file.tell()
-            file.seek(0)
-            ids, texts, n = [], [], 0
-            while file.tell() < end:
-                i, u, t = pickle.load(file)
-                ids.append((i, u))
-                texts.append(main_text(wrapper, *read(t)))
-                n += len(texts[-1])
-                if n > HELD or len(ids) >= 4 * group:
-                    yield result(ids, texts)
-                    ids, texts, n = [], [], 0
-            if ids:
-                yield result(ids, texts)
-            file.close()
+            ready = True
+            for i, u, t in held:
+                done(i, u, zlib.decompress(t).decode("utf-8", "surrogatepass"))
+                if n > HELD or len(out) >= group:
+                    yield results()
+            held.clear()
 
         for batch in batches:
-            for h, s, i, u, t in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "page_id", "url", "html")), strict=True):
-                if held and now != (h, s):
+            for h, s, kind, i, u, t, c in zip(*(batch.column(c) for c in ("host", "salt", "kind", "page_id", "url", "html", "constant")), strict=True):
+                h, s, i, u, t = h.as_py(), s.as_py(), i.as_py(), u.as_py(), t.as_py()
+                if now != (h, s):
                     yield from close()
-                    held, size, file, wrapper = [], 0, None, None
-                elif held and (size > HELD or len(held) >= 4 * group):  # memory stays bounded, the group stays whole
-                    if file is None:
-                        file, wrapper = tempfile.TemporaryFile(), Wrapper()
-                    spill()
-                    held, size = [], 0
-                now = (h, s)
-                held.append((i, u, t))
-                size += len(t)
-        if held:
-            yield from close()
-
-    return salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").select("host", "salt", "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+                    now, wrapper, ready = (h, s), Wrapper(), False
+                if kind.as_py() == 0:
+                    wrapper, ready = Wrapper(t, {int(k): v for k, v in json.loads(c.as_py()).items()}), True
+                elif ready:
+                    done(i, u, t)
+                else:
+                    held.append((i, u, zlib.compress(t.encode("utf-8", "surrogatepass"), 1)))
+                    if wrapper.add(t):
+                        yield from close()
+                if n > HELD or len(out) >= group:
+                    yield results()
+        yield from close()
+        if out:
+            yield results()
+
+    salted = rows.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int"))
+    dealt = salted.select("host", "salt", F.lit(1).alias("kind"), "hash", "page_id", "url", "html", F.lit(None).cast("string").alias("constant"))
+    if wrappers is not None:
+        sent = wrappers.join(large, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hash"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("example").alias("html"), "constant")
+        dealt = dealt.union(sent)
+    return dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "kind", "hash", "page_id").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+def _wrapper_row(host: str, wrapper: Wrapper) -> pa.RecordBatch:
+    wrapper.close()
+    return pa.RecordBatch.from_pydict({"host": [host], "example": pa.array([wrapper.page], pa.string()), "constant": [json.dumps(wrapper.constant)]})

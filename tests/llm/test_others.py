@@ -131,6 +131,50 @@ def test_large_pages_have_the_same_wrapper(spark):
     assert texts("x") == texts("x" * 6_000_000) == {i: f"text {i}" for i in range(9)}
 
 
+def test_markup_is_scanned_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ('<a "' * 250_000, "<a \"'>" * 30_000, "<b>" * 5000 + "</i>" * 5000, "<" * 100_000, "<p " * 100_000):
+        html_extract.main_texts([page])
+    assert time.perf_counter() - began < 60
+
+
+def test_what_an_article_says_stays():
+    page = "<article><h2 class='section-header'>Kept heading</h2><p>one</p><p>E = <math><mi>m</mi></math> c</p><p>a <label>b</label></p><div class='legal-history'>two</div><p class='share-price'>three</p></article>"
+    assert html_extract.main_texts([page]) == ["Kept heading\n\none\n\nE = m c\n\na b\n\ntwo\n\nthree"]
+
+
+def template_pages(seed, n, host):
+    """Pages of a known template without any telling mark, and their contents."""
+    rng = np.random.default_rng(seed)
+    menu, legal, side = (prose(int(x), 6) for x in rng.integers(0, 9999, 3))
+    out = []
+    for i in range(n):
+        body = [prose(int(x), 4 + int(x) % 30) + f" {seed} {i}" for x in rng.integers(0, 9999, int(rng.integers(1, 7)))]
+        page = f"<html><body><div class=a><span>{menu}</span></div><div class=b><div class=c>{side}</div><div class=e>" + "".join(f"<p>{x}</p>" for x in body) + f"</div></div><div class=z>{legal}</div></body></html>"
+        out.append((f"http://{host}/{i}", page, "\n\n".join(body)))
+    return out
+
+
+def test_induction_alone_finds_the_content_of_hosts_of_any_size(spark):
+    """No page has an article, main, nav or the like: only alignment tells template from content."""
+    sites = [template_pages(s, n, f"h{s}.example.com") for s, n in enumerate((4, 30, 700))]
+    rows = [(k, u, h) for k, (u, h, _) in enumerate(x for site in sites for x in site)]
+    want = {k: t for k, (_, _, t) in enumerate(x for site in sites for x in site)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df, group=64).collect()} == want
+    assert {r.page_id: r.text for r in html_extract.extract(df.repartition(7), group=1000).collect()} == want
+    few = template_pages(9, 3, "few.example.com")
+    assert all(got.count("\n\n") >= text.count("\n\n") + 3 for got, (_, _, text) in zip(html_extract.main_texts([h for _, h, _ in few]), few, strict=True))
+
+
+def test_a_slot_that_differs_from_the_template_stays():
+    site = [f"<body><div class=t>The site</div><p>text {i}</p></body>" for i in range(80)] + ["<body><div class=t>A note of this page</div><p>text x</p></body>"]
+    out = html_extract.main_texts(site)
+    assert out[3] == "text 3" and out[80] == "A note of this page\n\ntext x"
+
+
 def test_tree_matching():
     a, b = (html_extract.shape([html_extract.parse(p)]) for p in ("<div><p>1<ul><li>2</ul></div>", "<div><h1>t</h1><p>1<p>2<ul><li>2<li>3</ul></div>"))
     pairs: list = []
