@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import materialize, shared_dir
 
-__all__ = ["components", "materialize", "shared_dir", "split_by_ids", "table"]
+__all__ = ["components", "hot_ones", "materialize", "shared_dir", "split_by_ids", "table"]
+
+#: A key is hot from this share of all rows on, so there are fewer than HOT hot keys.
+HOT = 1024
+#: Places that a hot key's rows are dealt to.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hot_ones(counted: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``counted`` (one per key, with ``n``) whose key has more than a HOT-th part of all
+    rows: fewer than HOT by arithmetic, so they are broadcast."""
+    return F.broadcast(counted.where(F.col("n") > max(HOT, rows // HOT)))
+
+
 BITS = 22
 
 

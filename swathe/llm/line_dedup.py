@@ -34,15 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, split_by_ids
+from .common import SALTS, hot_ones, materialize, split_by_ids
 
 RARE = 8
 MIN_BYTES = 20
 #: Alignments of a pair, each of what the one before has left, before signs settle the rest.
 MOVES = 8
-#: A document or sign is hot from this share of all rows on, so there are at most HOT of them.
-HOT = 1024
-SALTS = 64
 #: Bytes of a line that is a passage, not boilerplate, however many documents hold it.
 PASSAGE = 100
 #: Bits of an alignment's matrix held at once.
@@ -277,12 +274,6 @@ def version(h: np.ndarray) -> int:
     return int(K.mix(h * K.PLACE[3] + np.arange(len(h), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
 
-def hot_ones(counted: DataFrame, rows: int) -> DataFrame:
-    """Keys with more than a HOT-th part of all rows: fewer than HOT by arithmetic, so they are
-    broadcast."""
-    return F.broadcast(counted.where(F.col("n") > max(HOT, rows // HOT)))
-
-
 def overlapping(docs: DataFrame, rare: int = RARE, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
     """Pairs (early, late) of documents to align, and the documents with a doc_id."""
 

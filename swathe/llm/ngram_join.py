@@ -5,19 +5,23 @@ their sets' Jaccard similarity reaches the threshold. The plan:
 
 1. A frequency sketch of fixed size over all shingles gives one global order, rare ones first;
    prefix filtering then needs only the first ``n - ceil(t * n) + 1`` shingles of a set.
-2. Documents with the same prefix and size form one group, and only groups travel with their
-   tokens. A token that no other group of a fitting size has is dropped in a streaming pass. Tokens the sketch calls
+2. Documents with equal sets are one class (128 bits of hashes name a set), classes with the same
+   prefix and size form one group, and only groups travel with their tokens. A token that no
+   other group of a fitting size has is dropped in a streaming pass. Tokens the sketch calls
    hot are dealt by group instead of by token, so no task receives a whole hot token.
-3. The groups left are expanded to their members. Documents with equal sets are one member (a
-   class); the members of one group also meet each other.
-4. Pairs are filtered by size and position and verified on whole sets. First every class is
-   compared with a few pivots of each of its tokens (linear); what the verified links have joined
-   need not be compared again, so only pairs of different components follow.
+3. The classes of a group are linked first, each with a few pivots of its group. What is then in one
+   component is one part of the group; mostly a group has a single part.
+4. Parts that share a token are paired, pairs are filtered by size and position, and only then
+   expanded: to one member each, to all members of one side, at last to all of both, and verified
+   on whole sets. Each step takes only tokens whose parts lie in several components, there only
+   parts outside the largest one, and all steps but the last pair them with a few pivots of
+   their token (linear). Tokens that are hot in a join are dealt to several places.
 
 Edge cases: null or empty texts and texts without words have an empty set and link with nothing;
 with fewer than k words the whole sequence is the one shingle. Rows that repeat a doc_id count as
-one node for linking and are all returned; rows with a null doc_id link with nothing and get a
-null component. Additional columns of the input are ignored, an empty input gives no rows.
+one node for linking, whatever their texts, and are all returned; rows with a null doc_id link
+with nothing and get a null component. Additional columns of the input are ignored, an empty input
+gives no rows.
 """
 
 from __future__ import annotations
@@ -31,22 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, materialize, split_by_ids
+from .common import SALTS, components, hot_ones, materialize, split_by_ids
 
 SKETCH_BITS = 22
 BLOCK_BITS = 12
 HOT_FACTOR = 64
-#: Classes of each token that all its other classes are compared with in a linear step.
+#: Parts of each token that all its other parts are compared with in a linear step.
 PIVOTS, MORE_PIVOTS = 8, 64
 LONG_RUN = 256
+#: Rows of a token to a place in a join of parts.
+DEALT = 4096
 U = np.uint64
 
 
-def required_overlap(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Least intersection with den * i >= num * union: i >= num * (na + nb) / (num + den)."""
-    return -((-num * (na + nb)) // (num + den))
-
-
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     data, offs = K.strings(batch.column("text"))
     for lo, hi in K.chunks(offs):
@@ -92,10 +93,12 @@ def frequency_classes(docs: DataFrame, k: int) -> bytes:
     return out.tobytes()
 
 
-def signature(s: np.ndarray) -> int:
-    """A 64-bit name of a set, as a signed integer."""
-    x = K.mix(s + U(0x51ED270B)).sum(dtype=np.uint64) + np.array([len(s)], np.uint64) * K.PLACE[6]
-    return int(K.mix(x).view(np.int64)[0])
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, as two signed integers."""
+    size = np.array([len(s)], np.uint64)
+    one = K.mix(K.mix(s + U(0x51ED270B)).sum(dtype=np.uint64) + size * K.PLACE[6])
+    two = K.mix(K.mix(s * K.PLACE[5] + U(0x2545F491)).sum(dtype=np.uint64) + size * K.PLACE[4])
+    return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
 def fitting(token: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -136,13 +139,15 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
     def signatures(batches):
         ranks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            sig, grp, n = [], [], []
+            s1, s2, grp, n = [], [], [], []
             for _, sets in _sets(batch, k):
                 for s in sets:
                     n.append(len(s))
-                    sig.append(signature(s) if len(s) else None)
+                    one, two = signature(s) if len(s) else (None, None)
+                    s1.append(one)
+                    s2.append(two)
                     grp.append(prefix_of(s, ranks, num, den)[2] if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "sig": pa.array(sig, pa.int64()), "grp": pa.array(grp, pa.int64()), "n": pa.array(n, pa.int64())})
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (s1, s2, grp, n))], ["doc_id", "s1", "s2", "grp", "n"])
 
     def prefixes(batches):
         ranks = np.frombuffer(shared.value, np.uint8)
@@ -207,71 +212,113 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
         yield from (b for b in batches if b.num_rows)
         yield None
 
-    named = materialize(docs.mapInArrow(signatures, "doc_id long, sig long, grp long, n long"), "named")
-    where = materialize(named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").cast("int").alias("n")), "classes")
-    rows = docs.select("text").mapInArrow(prefixes, "token long, deal int, grp long, n int, pos int")
+    named = materialize(docs.mapInArrow(signatures, "doc_id long, s1 long, s2 long, grp long, n long"), "named")
+    held = named.where("s1 is not null and doc_id is not null")
+    where = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("grp").alias("grp"), F.min("n").cast("int").alias("size"), F.count("*").alias("n"))
+    where = materialize(where.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    members = where.select("grp", "cls", "node", "size")
+    rows = docs.where("doc_id is not null").select("text").mapInArrow(prefixes, "token long, deal int, grp long, n int, pos int")
     grouped = rows.repartition("token", "deal").sortWithinPartitions("token", "grp").mapInArrow(met_twice, "token long, grp long, n int, pos int")
-    # Groups are expanded to their members; members of one group also meet under the group's name.
-    members = where.select("grp", "sig", F.col("n").alias("_n"))
-    several = members.groupBy("grp").count().where("count > 1").select("grp")
-    inside = members.join(several, "grp").select(F.col("grp").alias("token"), "sig", F.col("_n").alias("n"), F.lit(0).alias("pos"))
-    tokens = materialize(grouped.join(members.select("grp", "sig"), "grp").select("token", "sig", "n", "pos").union(inside), "tokens")
+    tokens = materialize(grouped, "tokens")
+    several = materialize(members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "several").select("grp")
+    # the parts of a group meet under the group's own name
+    inside = members.join(several, "grp").select(F.col("grp").alias("token"), "grp", F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
+    tokens = tokens.union(inside)
 
     fits = (
         f"{den} * least(na, nb) >= {num} * greatest(na, nb) and "
         f"({num} + {den}) * least(na - pa, nb - pb) >= {num} * (na + nb)"
     )
-    side = lambda x, df: df.select("token", *[F.col(c).alias(n + x) for c, n in (("sig", "s"), ("n", "n"), ("pos", "p"), ("comp", "c"), ("major", "j"))])
-
-    def pairs_of(joined: DataFrame) -> DataFrame:
-        return joined.where(fits).select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
-
-    # Linear steps: each class against a few pivots of each of its tokens. Later steps take only
-    # tokens whose classes lie in several components, and there only the classes outside the
-    # largest one: a random sixty-fourth part of a group is enough to join most of them. The last
-    # step compares the others with everything.
+    side = lambda x, df: df.select("token", "salt", *[F.col(c).alias(c + x) for c in ("grp", "comp", "some", "major")], F.col("n").alias("n" + x), F.col("pos").alias("p" + x))
     comp = done = None
-    for step, slots in enumerate((PIVOTS, MORE_PIVOTS, MORE_PIVOTS, None)):
+
+    def placed() -> DataFrame:
+        """All classes with the components that the links found so far give."""
         if comp is None:
-            every = tokens.withColumn("comp", F.col("sig")).withColumn("major", F.lit(False))
-            minor = every
-        else:  # a token that has come to lie in one component stays so: only the last step's tokens are looked at
-            every = every.drop("comp", "major").join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-            parts = every.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("parts"))
-            every = materialize(every.join(parts.where("parts > 1").select("token", "top"), "token").withColumn("major", F.col("comp") == F.col("top")).drop("top"), "spread")
-            minor = every.where("not major")
-        against = every
-        if slots:
-            slot = F.pmod(F.xxhash64("sig", F.lit(step)), F.lit(slots))
-            against = every.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("sig", "n", "pos", "comp", "major")).alias("p")).select("token", "p.*")
-        cross = side("a", minor).join(side("b", against), "token").where("ca <> cb")
-        if not slots:  # a pair of two minor members comes once
-            cross = cross.where("jb or sa < sb")
-        found = pairs_of(cross)
+            return members.withColumn("comp", F.col("node"))
+        return members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def link(pairs: DataFrame) -> None:
+        """Verifies pairs (a, b) of classes that no step before has verified, and joins components."""
+        nonlocal comp, done
+        found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         found = materialize(found if done is None else found.join(done, ["a", "b"], "left_anti"), "pairs")
         done = found if done is None else done.union(found)
         links = verify(found, where, docs, num, den, k)
-        if comp is None:
-            comp = components(links)
-        elif not links.isEmpty():
-            comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links))
-
-    labelled = named.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    best = labelled.where("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(best, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+        if comp is not None and links.isEmpty():
+            return
+        comp = components(links if comp is None else comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links))
+
+    if several.isEmpty():
+        comp = spark.createDataFrame([], "node long, comp long")
+    else:
+        slot = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS))
+        own = members.join(several, "grp")
+        pivots = own.groupBy("grp", slot.alias("slot")).agg(F.min("cls").alias("b")).select("grp", "b")
+        link(pivots.join(own.select("grp", F.col("cls").alias("a")), "grp").select("a", "b"))
+
+    every = tokens
+    for step, (slots, whole) in enumerate(((PIVOTS, ""), (MORE_PIVOTS, "a"), (None, "ab"))):
+        now = materialize(placed(), "placed")
+        parts = now.groupBy("grp", "comp").agg(F.min("cls").alias("some"), F.count("*").alias("size"))
+        # a token that has come to lie in one component stays so: only the last step's tokens are looked at
+        spread = every.select("token", "grp", "n", "pos").distinct().join(parts, "grp")
+        tops = spread.groupBy("token", "comp").agg(F.count("*").alias("count"), F.sum("size").alias("size")).groupBy("token")
+        tops = tops.agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("count").alias("rows"), F.sum("size").alias("classes")).where("comps > 1")
+        every = materialize(spread.join(tops, "token").withColumn("major", F.col("comp") == F.col("top")).drop("top", "comps"), "spread")
+        minor = every.where("not major")
+        work = every.agg(F.sum("size").alias("all"), F.sum(F.when(~F.col("major"), F.col("size").cast("double") * F.col("classes"))).alias("whole")).first()
+        if not work.whole:
+            break
+        if work.whole <= PIVOTS * work.all:  # no dearer than with pivots: compare all that is left
+            slots, whole = None, "ab"
+        if slots:
+            slot = F.pmod(F.xxhash64("some", F.lit(step)), F.lit(slots))
+            few = every.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("grp", "comp", "some", "n", "pos", "major", "rows")).alias("p")).select("token", "p.*")
+            many = minor
+        else:
+            few, many = minor, every
+        salts = F.least(F.lit(SALTS), F.col("rows") / DEALT + 1).cast("int")
+        many = many.withColumn("salt", F.pmod(F.xxhash64("grp", "comp"), salts).cast("int"))
+        few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        cross = side("a", many).join(side("b", few), ["token", "salt"]).where("compa <> compb")
+        if not slots:  # a pair of two minor parts comes once
+            cross = cross.where("majora or struct(grpa, compa) < struct(grpb, compb)")
+        met = cross.where(fits).select("grpa", "compa", "somea", "grpb", "compb", "someb").distinct()
+        for x in "ab":
+            if x in whole:
+                met = met.drop("some" + x).join(now.select(F.col("grp").alias("grp" + x), F.col("comp").alias("comp" + x), F.col("cls").alias("some" + x)), ["grp" + x, "comp" + x])
+        link(met.select(F.col("somea").alias("a"), F.col("someb").alias("b")))
+        if not slots:
+            break
+
+    labels = where.select("s1", "s2", "n", "node").join(comp, "node", "left").select("s1", "s2", "n", F.coalesce("comp", "node").alias("comp"))
+    hot = hot_ones(labels, named.count()).select("s1", "s2", F.col("comp").alias("known"))
+    dealt = named.join(hot, ["s1", "s2"], "left")
+    rest = dealt.where("known is null").drop("known").join(labels.drop("n"), ["s1", "s2"], "left")
+    out = dealt.where("known is not null").select("doc_id", "n", F.col("known").alias("comp")).union(rest.select("doc_id", "n", "comp"))
+    out = out.withColumn("comp", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")))
+    if not held.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():  # the texts of one doc_id are one node
+        out = materialize(out, "labelled")
+        nodes = out.where("doc_id is not null")
+        again = components(nodes.select(F.col("comp").alias("a"), F.col("doc_id").alias("b")).distinct())
+        out = out.join(again.select(F.col("node").alias("comp"), F.col("comp").alias("least")), "comp", "left").withColumn("comp", F.coalesce("least", "comp"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """The pairs (a, b) of set names whose whole sets reach the threshold."""
+    """The links (a, b) between the nodes of those pairs of classes whose whole sets reach the threshold."""
 
     def sets(batches):
         for batch in batches:
-            out = []
+            out, s1, s2 = [], [], []
             for _, found in _sets(batch, k):
-                out += [s.tobytes() for s in found]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "members": pa.array(out, pa.binary())})
+                for s in found:
+                    one, two = signature(s) if len(s) else (0, 0)
+                    out.append(s.tobytes())
+                    s1.append(one)
+                    s2.append(two)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())], ["node", "s1", "s2", "members"])
 
     def compare(batches):
         for batch in batches:
@@ -284,13 +331,13 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
                 at[at == len(q)] = 0
                 both = int((q[at] == p).sum()) if len(q) else 0
                 keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("na"), batch.column("nb")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     if pairs.isEmpty():
         return pairs.sparkSession.createDataFrame([], "a long, b long")
-    wanted = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(where.select("sig", "doc_id"), "sig"), "wanted")
-    made = split_by_ids(docs, wanted)[0].mapInArrow(sets, "doc_id long, members binary")
-    store = materialize(made.join(wanted.hint("merge"), "doc_id").select("sig", "members").dropDuplicates(["sig"]), "sets")
-    left = store.select(F.col("sig").alias("a"), F.col("members").alias("ma"))
-    right = store.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
-    return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")
+    wanted = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(where.select("cls", "node", "s1", "s2"), "cls"), "wanted")
+    made = split_by_ids(docs, wanted.select(F.col("node").alias("doc_id")))[0].mapInArrow(sets, "node long, s1 long, s2 long, members binary")
+    store = materialize(made.join(wanted.hint("merge"), ["node", "s1", "s2"]).select("cls", "node", "members").dropDuplicates(["cls"]), "sets")
+    left = store.select(F.col("cls").alias("a"), F.col("node").alias("na"), F.col("members").alias("ma"))
+    right = store.select(F.col("cls").alias("b"), F.col("node").alias("nb"), F.col("members").alias("mb"))
+    return materialize(pairs.join(right, "b").join(left, "a").select("na", "nb", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from helpers import prose
 
-from swathe.llm import line_dedup, near_dedup, ngram_join, queries, repeat_spans
+from swathe.llm import common, line_dedup, near_dedup, ngram_join, queries, repeat_spans
 from swathe.llm import kernels as K
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -51,6 +51,35 @@ def test_ngram_join_on_chains_and_groups(documents):
     assert sorted((tuple(r) for r in got), key=str) == expected_components(rows)
 
 
+def test_ngram_join_on_repeated_ids_with_other_texts(documents):
+    a, b = prose(21, 60), prose(22, 60)
+    rows = [(9, a), (9, b), (3, a + " tail"), (5, b + " tail"), (5, None), (7, prose(23, 30)), (7, ""), (8, None), (8, ""), (None, a), (4, prose(24, 40)), (4, prose(24, 40)), (4, prose(25, 40))]
+    for seed in (0, 1):
+        order = np.random.default_rng(seed).permutation(len(rows))
+        df = documents([rows[i] for i in order]).repartition(5)
+        got = sorted((tuple(r) for r in ngram_join.jaccard_components(df).collect()), key=str)
+        assert got == expected_components(rows)
+    assert {c for i, _, c in got if i in (3, 5, 9)} == {3}
+
+
+def test_ngram_join_expands_groups_that_do_not_hang_together(documents, monkeypatch):
+    """Sets of one prefix and size that differ in the rest: each group has several parts."""
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "MORE_PIVOTS", 2)
+    monkeypatch.setattr(ngram_join, "prefix_of", grouped_prefix(ngram_join.prefix_of))
+    rows = [(i * 7 % 101, prose(60 + i % 5, 30) + " " + prose(80 + i % 3, 12 + i % 2) + f" {i % 8} {i % 4}") for i in range(60)]
+    got = sorted((tuple(r) for r in ngram_join.jaccard_components(documents(rows)).collect()), key=str)
+    assert got == expected_components(rows)
+
+
+def grouped_prefix(real):
+    def prefix_of(s, ranks, num, den):
+        tokens, classes, _ = real(s, ranks, 0, den)  # whole sets as prefixes, few of them kept
+        return tokens * 0 + np.arange(len(tokens)) % 3, classes, len(s) % 5
+
+    return prefix_of
+
+
 def test_ngram_join_on_nothing(documents):
     assert ngram_join.jaccard_components(documents([])).count() == 0
 
@@ -234,7 +263,7 @@ def generated_lines(rng, copies):
 
 
 def test_line_dedup_equals_all_pairs_in_groups_of_any_size(documents, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", 12)
+    monkeypatch.setattr(common, "HOT", 12)
     for seed, copies in enumerate((2, 8, 9, 30)):
         rows = generated_lines(np.random.default_rng(seed), copies)
         got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(rows)).collect()), key=str)
