@@ -204,7 +204,7 @@ def test_mixing_against_sql(spark):
 def test_mixing_meets_marginals(spark, documents, awkward):
     rows = [(i, prose(i, 20 + i % 9), ("en", "de")[i % 5 == 0], f"s{i % 3 == 0}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    out = mixing.mix(df, rounds=30)
+    out = mixing.mix(df)
     shares = {}
     for d, power in (("source", 0.7), ("lang", 0.8)):
         r = out.groupBy(d).agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("weight")).alias("w")).collect()
@@ -214,6 +214,8 @@ def test_mixing_meets_marginals(spark, documents, awkward):
         assert p
     assert all(a == pytest.approx(b, rel=1e-6) for a, b in shares.values())
     assert out.agg(F.max("probability")).first()[0] == pytest.approx(1)
+    counted = mixing.mix(documents([(1, " a  b\n\nc "), (2, " "), (3, "x")]))
+    assert {r.doc_id: r.tokens for r in counted.collect()} == {1: 3, 2: 0, 3: 1}
     odd = mixing.mix(documents(awkward))
     assert odd.count() == len(awkward) and odd.where("tokens = 0 and sampled").count() == 0
     assert mixing.mix(documents([])).count() == 0
