@@ -96,13 +96,14 @@ def normalise(density: DataFrame) -> DataFrame:
 
 
 def kde_from_mask(spark: SparkSession, mask: DataFrame, nrows: int, ncols: int, kernel: str = "gaussian", bandwidth: str | float = "auto", cutoff: float | None = None) -> DataFrame:
-    """Dense density surface in [0, 1]. ``bandwidth``: ``auto`` (Scott, isotropic), ``auto_indices``
-    (Scott on cell numbers) or a number of cells; with ``cutoff`` smaller values become 0."""
+    """Dense density surface in [0, 1]. ``bandwidth``: ``auto`` (Scott, isotropic; on cell numbers for
+    the Epanechnikov kernel), ``auto_indices`` (Scott on cell numbers) or a number of cells; with
+    ``cutoff`` smaller values become 0."""
     from .raster import grid_cells
 
     cells = grid_cells(spark, nrows, ncols).select("row", "col")
     if isinstance(bandwidth, str):
-        h = scott_sigma(mask)[0] if bandwidth == "auto" else scott_sigma_indices(mask)
+        h = scott_sigma(mask)[0] if bandwidth == "auto" and kernel == "gaussian" else scott_sigma_indices(mask)
     else:
         h = float(bandwidth)
     if kernel == "gaussian":
