@@ -52,6 +52,12 @@ def query(sql: str | None = None, others: str = "", doubles: str = "", longs: st
     return add
 
 
+def same_rows(name: str, of: str, f: Query) -> None:
+    """Registers a query that another way leads to the rows of a registered one."""
+    _queries[name] = lambda spark, d: tidy(f(spark, d))
+    _sql[name] = _sql[of]
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -949,3 +955,6 @@ def nearest_axis_index(spark, d):
 def geographic_route(spark, d):
     lat, lon = X.transverse_mercator_inverse(F.col("x") + 341300.0, F.col("y") + 4774600.0, -69.0)
     return V.waypoints(spark, d).select("seq", lat.alias("lat"), lon.alias("lon"))
+
+
+from . import exchange  # noqa: E402, F401  (registers its queries)

@@ -67,13 +67,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder, which ``drop_written`` deletes."""
+    path = f"{shared_dir(spark)}/swathe-{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the files' readers nothing but a re-read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/swathe-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     # The files replace the plan, so its shuffle files go when they are written, not when the driver
     # happens to collect garbage.
     before = spark.conf.get(CLEANUP, "false")
@@ -82,7 +89,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

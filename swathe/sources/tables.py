@@ -82,12 +82,20 @@ def read_counts_json(spark: SparkSession, path: str, nrows: int, ncols: int, *,
 
 
 def write_counts_json(counts: DataFrame, path: str, nrows: int, ncols: int) -> None:
-    """The same file, row major, one record per key: readable by ``read_counts_json``."""
+    """The same file, an array of one record per key, row major: readable by ``read_counts_json``."""
     key = F.struct(*[F.col(c) if c in counts.columns else F.lit("NA").alias(c) for c in ("ret", "cover", "mission", "kernel")])
     cells = F.map_from_entries(F.collect_list(F.struct((F.col("row") * ncols + F.col("col")).alias("k"), F.col("n").cast("int").alias("n"))))
     rows = counts.where("n <> 0").groupBy(key.alias("key")).agg(cells.alias("m"))  # one grid per record
     full = F.transform(F.sequence(F.lit(0), F.lit(nrows * ncols - 1)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0)))
-    rows.select("key", full.alias("matrix")).coalesce(1).write.mode("overwrite").json(path)
+    from pyspark.sql import Window
+
+    # one line a record; the array's brackets and commas stand at the lines' ends
+    w = Window.orderBy("key")
+    lines = rows.select("key", F.to_json(F.struct("key", full.alias("matrix"))).alias("json"))
+    begin = F.when(F.row_number().over(w) == 1, "[").otherwise("")
+    end = F.when(F.lead("key").over(w).isNull(), "]").otherwise(",")
+    lines = lines.select("key", F.concat(begin, "json", end).alias("value")).orderBy("key").coalesce(1)
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), rename: dict[str, str] | None = None) -> None:
