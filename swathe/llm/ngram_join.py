@@ -335,9 +335,14 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
 
     if pairs.isEmpty():
         return pairs.sparkSession.createDataFrame([], "a long, b long")
-    wanted = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(where.select("cls", "node", "s1", "s2"), "cls"), "wanted")
+    # a pair's lesser class is mostly a pivot: each side takes only the sets that stand there
+    roles = pairs.select(F.col("a").alias("cls"), F.lit(True).alias("first")).union(pairs.select("b", F.lit(False)))
+    roles = roles.groupBy("cls").agg(F.max("first").alias("first"), F.max(~F.col("first")).alias("second"))
+    wanted = materialize(roles.join(where.select("cls", "node", "s1", "s2"), "cls"), "wanted")
     made = split_by_ids(docs, wanted.select(F.col("node").alias("doc_id")))[0].mapInArrow(sets, "node long, s1 long, s2 long, members binary")
-    store = materialize(made.join(wanted.hint("merge"), ["node", "s1", "s2"]).select("cls", "node", "members").dropDuplicates(["cls"]), "sets")
-    left = store.select(F.col("cls").alias("a"), F.col("node").alias("na"), F.col("members").alias("ma"))
-    right = store.select(F.col("cls").alias("b"), F.col("node").alias("nb"), F.col("members").alias("mb"))
+    # (s1, s2) names a class, so repeated rows of a node are met where the join has put them
+    found = made.join(wanted.hint("merge"), ["node", "s1", "s2"]).dropDuplicates(["node", "s1", "s2"])
+    store = materialize(found.select("cls", "node", "first", "second", "members"), "sets")
+    left = store.where("first").select(F.col("cls").alias("a"), F.col("node").alias("na"), F.col("members").alias("ma"))
+    right = store.where("second").select(F.col("cls").alias("b"), F.col("node").alias("nb"), F.col("members").alias("mb"))
     return materialize(pairs.join(right, "b").join(left, "a").select("na", "nb", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")
