@@ -1,17 +1,25 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Vectors of equal label link when their cosine reaches the threshold. Exact copies are collapsed
-first. The others are dealt to overlapping shards: each vector goes to its nearest cluster
-centroids (fitted on a bounded sample), at least OVERLAP of them and all that are nearly as near.
-A cluster of a label with more than BLOCK vectors is cut into parts, and every two parts meet in
-a shard, so no task holds more than about two parts and no pair of a cluster is lost.
+first. The others are dealt to overlapping shards: each vector goes to its OVERLAP nearest cluster
+centroids (fitted on a bounded sample). A cluster of a label with more than BLOCK vectors is cut
+into parts, and every two parts meet in a shard, so no task holds more than about two parts and no
+pair of a cluster is lost.
 
 Each shard builds a graph whose neighbour lists are robustly pruned (a neighbour is dropped if a
-nearer one is close to it); the lists of a vector from all shards are united. Each shard is then
-searched on the united lists: for all its vectors at once, greedily from the shard's medoid until
-the beam settles, then expanding through everything inside the range. The recall of this search is
-audited in each shard by brute force over a sample of its queries; a shard where the audit misses
-a link is scanned whole. All links are verified by cosines in double precision.
+nearer one is closer to it by the factor ALPHA); the lists of a vector from all shards are united,
+whole. Each shard is then searched on the united lists, for all its vectors at once: greedily from
+the shard's medoid until no neighbour is nearer, then expanding through everything inside
+1 + 1 / ALPHA times the range. On a list that was pruned without a limit this bound loses nothing:
+from any vertex an edge leads ALPHA times nearer to each target, so a path from the query to a
+target within the range stays inside it. Similarities are computed, in double precision, for the
+vertices that a search visits and no others, and a link is a visited pair that reaches the threshold.
+
+Recall is audited twice. In each shard some of its vectors are compared with all of it; after a miss
+the shard is searched again with twice the bound, and after another it is scanned whole. Over the
+whole table QUERIES vectors (a stated query set, smallest digests first) are compared with every
+vector of their label; as long as less than RECALL of their links was found, the overlap is
+doubled, in the end to all clusters, where every pair of a label meets. ``report`` is given these figures.
 
 Links are counted inside shards, each pair in one shard only; components come from one row per
 vector and shard. So a group of n near copies costs n rows, not n * n.
@@ -38,9 +46,11 @@ MOST_CENTROIDS = 1024
 #: Vectors of the largest label per centroid: with the overlap a shard has about three times as many.
 CLUSTER = 256
 BLOCK = 1280
-OVERLAP, SLACK, MOST = 3, 0.05, 4
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
-AUDIT = 64
+OVERLAP = 4
+DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
+AUDIT, QUERIES, RECALL = 64, 1024, 0.99
+#: Pairs that are multiplied at once, and the share of a shard from which on whole rows are cheaper.
+CHUNK, DENSE = 1 << 16, 16
 SEED = 11
 
 
@@ -90,57 +100,96 @@ def robust_prune(s: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return out
 
 
-def range_search(s: np.ndarray, adjacency: np.ndarray, threshold: float, beam: int = BEAM) -> np.ndarray:
-    """For every vector of a shard which others it finds in range: greedy beam search from the
-    medoid, then expansion of everything in range. ``s`` gives the similarities that it asks for."""
-    n, degree = adjacency.shape
-    start = int(s.mean(1).argmax())
+def products(x: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (q, p); a vector in many of the pairs gets its row at once."""
+    out = np.empty(len(q))
+    n = len(x)
+    wide = np.bincount(q, minlength=n) > n // DENSE
+    many = np.flatnonzero(wide)
+    order = np.argsort(q, kind="stable")
+    at = np.searchsorted(q[order], np.arange(n + 1))
+    for i in range(0, len(many), 256):
+        block = many[i : i + 256]
+        rows = x[block] @ x.T
+        for row, v in zip(rows, block, strict=True):
+            mine = order[at[v] : at[v + 1]]
+            out[mine] = row[p[mine]]
+    rest = np.flatnonzero(~wide[q])
+    for i in range(0, len(rest), CHUNK):
+        some = rest[i : i + CHUNK]
+        out[some] = np.einsum("ij,ij->i", x[q[some]], x[p[some]])
+    return out
+
+
+def range_search(x: np.ndarray, first: np.ndarray, heads: np.ndarray, threshold: float, factor: float) -> tuple[np.ndarray, int]:
+    """For every unit vector which others its search finds in range, and how many pairs were visited.
+    The neighbours of vertex v are ``heads[first[v]:first[v + 1]]``; expansion goes through
+    everything within ``factor`` times the range."""
+    n = len(x)
+    inside = 1 - (2 - 2 * threshold) * factor * factor / 2
+    seen, hit, near = (np.zeros((n, n), bool) for _ in range(3))
+
+    def visit(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        value = products(x, q, p)
+        seen[q, p] = True
+        hit[q, p] = value >= threshold
+        near[q, p] = value >= inside
+        return value
+
+    def fan(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = first[v + 1] - first[v]
+        at = np.arange(count.sum()) + np.repeat(first[v] - (np.cumsum(count) - count), count)
+        q, p = np.repeat(q, count), heads[at]
+        fresh = ~seen[q, p]
+        return q[fresh], p[fresh]
+
     rows = np.arange(n)
-    width = min(beam, n)
-    ids = np.full((n, width), -1)
-    score = np.full((n, width), -np.inf)
-    done = np.ones((n, width), bool)
-    ids[:, 0], score[:, 0], done[:, 0] = start, s[:, start], False
-    seen = np.zeros((n, n), bool)
-    seen[:, start] = True
-    for _ in range(4 * width + 16):
-        best = np.where(done, -np.inf, score)
-        pick = best.argmax(1)
-        live = np.flatnonzero(best[rows, pick] > -np.inf)
+    now = np.full(n, int((x @ x.mean(0)).argmax()))  # the medoid
+    best = visit(rows, now)
+    live = rows
+    while len(live):
+        q, p = fan(live, now[live])
+        value = visit(q, p)
+        order = np.lexsort((value, q))
+        last = order[np.append(q[order][1:] != q[order][:-1], True)] if len(q) else order
+        last = last[value[last] > best[q[last]]]
+        live = q[last]
+        now[live], best[live] = p[last], value[last]
+    # a search that ended elsewhere is entered at the query's own vertex
+    away = rows[~seen[rows, rows]]
+    visit(away, away)
+    near[rows, rows] = True
+    gone = np.zeros((n, n), bool)
+    dense = None
+    while True:
+        front = near & ~gone
+        gone |= front
+        live = np.flatnonzero(front.any(1))
         if not len(live):
             break
-        done[live, pick[live]] = True
-        nbr = adjacency[ids[live, pick[live]]]
-        new = (nbr >= 0) & ~seen[live[:, None], nbr]
-        li, ci = np.nonzero(new)
-        seen[live[li], nbr[li, ci]] = True
-        value = np.where(new, s[live[:, None], nbr], -np.inf)
-        all_ids = np.concatenate([ids[live], np.where(new, nbr, -1)], axis=1)
-        all_score = np.concatenate([score[live], value], axis=1)
-        all_done = np.concatenate([done[live], ~new], axis=1)
-        top = np.argpartition(-all_score, width - 1, axis=1)[:, :width] if all_score.shape[1] > width else np.tile(np.arange(all_score.shape[1]), (len(live), 1))
-        ids[live], score[live], done[live] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_score, all_done))
-    hit = seen & (s >= threshold)
-    front = np.argwhere(hit)
-    while len(front):
-        q = np.repeat(front[:, 0], degree)
-        x = adjacency[front[:, 1]].ravel()
-        ok = x >= 0
-        q, x = q[ok], x[ok]
-        ok = ~seen[q, x]
-        pair = np.unique(q[ok] * n + x[ok])
-        q, x = pair // n, pair % n
-        seen[q, x] = True
-        ok = s[q, x] >= threshold
-        hit[q[ok], x[ok]] = True
-        front = np.column_stack([q[ok], x[ok]])
+        for i in range(0, len(live), 64):
+            block = live[i : i + 64]
+            q, v = np.nonzero(front[block])
+            if (first[v + 1] - first[v]).sum() <= len(block) * n // DENSE:
+                q, p = fan(block[q], v)
+                pair = np.unique(q * n + p)
+                q, p = pair // n, pair % n
+            else:
+                if dense is None:
+                    dense = np.zeros((n, n), np.float32)
+                    dense[np.repeat(rows, np.diff(first)), heads] = 1
+                q, p = np.nonzero((front[block].astype(np.float32) @ dense > 0) & ~seen[block])
+                q = block[q]
+            visit(q, p)
+    visited = int(seen.sum())
     hit |= hit.T
     hit[rows, rows] = False
-    return hit
+    return hit, visited
 
 
-def near_components(table: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
-    """One row per row of the table: vec_id, n_links, component_id, kept."""
+def near_components(table: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", report: dict | None = None) -> DataFrame:
+    """One row per row of the table: vec_id, n_links, component_id, kept. ``report``, if given, takes the
+    audit: recall of the queries' links, overlap, shards, how many were scanned, share of pairs visited."""
     spark = table.sparkSession
     rows = packed(table.select(vec_id, embedding, F.col(label).cast("string").alias("label")), vec_id, embedding, "label")
     rows = materialize(rows, "vectors")
@@ -159,6 +208,53 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
         x = unit(np.frombuffer(b"".join(bytes(r.v) for r in some)).reshape(len(some), d))
         centres[d] = centroids_of(x, max(1, min(MOST_CENTROIDS, -(-labels // CLUSTER))))
     shared = spark.sparkContext.broadcast(centres)  # at most 64 sets of MOST_CENTROIDS centroids
+    truth = _audit_truth(classes, threshold)
+    overlap, most = OVERLAP, max((len(c) for c in centres.values()), default=1)
+    while True:
+        found = _shard_links(classes, shared, overlap, threshold)
+        links = found.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
+        seen = truth.join(links, "rep", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("hits")).first()
+        recall = seen.hits / seen.n if seen.n else 1.0
+        if recall >= RECALL or overlap >= most:
+            break
+        overlap *= 2
+    if report is not None:
+        r = found.where("rep is null").agg(F.count("*").alias("shards"), F.sum("scanned").alias("scanned"), F.sum("visited").alias("visited"), F.sum("pairs").alias("pairs")).first()
+        report.update(recall=recall, audited_links=seen.n or 0, overlap=overlap, shards=r.shards, scanned=r.scanned or 0, visited=(r.visited or 0) / max(r.pairs or 0, 1))
+    comp = components(found.where("rep is not null").select(F.col("rep").alias("a"), F.col("comp").alias("b")))
+    result = back.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    result = result.select("vec_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
+    out = rows.select("vec_id").join(result, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _audit_truth(classes: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n): the links of QUERIES vectors to all others of their label, by brute force."""
+    some = classes.orderBy(F.md5(F.col("rep").cast("string")), "rep").limit(QUERIES).select("label", "rep", "v").collect()  # QUERIES rows at most
+    by: dict[str, tuple[list[int], list[np.ndarray]]] = {}
+    for r in some:
+        reps, vecs = by.setdefault(r.label, ([], []))
+        reps.append(r.rep)
+        vecs.append(np.frombuffer(bytes(r.v)))
+    asked = classes.sparkSession.sparkContext.broadcast({k: (np.array(reps), unit(np.array(vecs))) for k, (reps, vecs) in by.items()})
+
+    def count(batches):
+        for batch in batches:
+            names = np.array(batch.column("label").to_pylist(), dtype=object)
+            for name in set(names.tolist()) & asked.value.keys():
+                at = pa.array(np.flatnonzero(names == name))
+                rep, size = (batch.column(c).take(at).to_numpy() for c in ("rep", "size"))
+                reps, y = asked.value[name]
+                linked = (y @ unit(matrix(batch.column("v").take(at))).T >= threshold) & (reps[:, None] != rep)
+                yield pa.RecordBatch.from_pydict({"rep": reps, "n": (linked @ size).astype(np.int64)})
+
+    counted = classes.select("label", "rep", "size", "v").mapInArrow(count, "rep long, n long")
+    return materialize(counted.groupBy("rep").agg(F.sum("n").alias("n")), "audit")
+
+
+def _shard_links(classes: DataFrame, shared, overlap: int, threshold: float) -> DataFrame:
+    """(rep, links, comp) for each linked vector and shard, and a row with a null rep for each shard:
+    whether it was scanned, how many pairs its search visited and how many it has."""
 
     def place(batches):
         for batch in batches:
@@ -166,12 +262,8 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
             for v in batch.column("v"):
                 x = np.frombuffer(v.as_buffer(), np.float64)
                 c = shared.value.get(len(x))
-                if c is None:
-                    near.append([0])
-                    continue
-                far = np.sqrt(np.maximum(2 - 2 * (c @ (x / np.linalg.norm(x))), 0))
-                order = np.argsort(far, kind="stable")[:MOST]
-                near.append(sorted(int(o) for i, o in enumerate(order) if i < OVERLAP or far[o] <= far[order[0]] + SLACK))
+                # dimensions beyond the 64 most frequent have one cluster
+                near.append([0] if c is None else sorted(np.argsort(-(c @ x), kind="stable")[:overlap].tolist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], [*batch.schema.names, "clusters"])
 
     placed = materialize(classes.select("label", "rep", "size", "v").mapInArrow(place, "label string, rep long, size long, v binary, clusters array<int>"), "placed")
@@ -201,44 +293,46 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
             n = t.num_rows
             x = unit(matrix(t["v"]))
             rep, size, part = (t[c].to_numpy() for c in ("rep", "size", "part"))
-            s = x @ x.T
-            asked = [np.array(v.as_py(), np.int64) for v in t["list"]]
-            kept = []
-            for f, a in zip([np.minimum(np.searchsorted(rep, a), n - 1) for a in asked], asked, strict=True):
-                kept.append(f[rep[f] == a])
+            lists = t["list"].combine_chunks() if isinstance(t["list"], pa.ChunkedArray) else t["list"]
+            tail = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+            asked = lists.flatten().to_numpy()
+            head = np.minimum(np.searchsorted(rep, asked), n - 1)
+            tail, head = tail[rep[head] == asked], head[rep[head] == asked]
             # links go both ways, or a vector that is nobody's neighbour would never be met
-            tail = np.repeat(np.arange(n), [len(f) for f in kept])
-            head = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-            a, b = np.concatenate([tail, head]), np.concatenate([head, tail])
-            pair = np.unique(a * n + b)
-            a, b = pair // n, pair % n
-            place = np.arange(len(a)) - np.searchsorted(a, a)
-            adjacency = np.full((n, max(1, int(place.max(initial=0)) + 1)), -1)
-            adjacency[a, place] = b
-            hit = range_search(s, adjacency[:, : 4 * DEGREE], threshold)
+            pair = np.unique(np.concatenate([tail * n + head, head * n + tail]))
+            first, heads = np.searchsorted(pair, np.arange(n + 1) * n), pair % n
             probe = np.random.default_rng(int(rep[0]) & 0xFFFF).permutation(n)[:AUDIT]
-            truth = s[probe] >= threshold
+            truth = x[probe] @ x.T >= threshold
             truth[np.arange(len(probe)), probe] = False
-            if (truth & ~hit[probe]).any():  # the audit found a miss: scan the shard
-                hit = s >= threshold
+            visited, scanned = 0, 0
+            for factor in (1 + 1 / ALPHA, 2 + 2 / ALPHA):
+                hit, v = range_search(x, first, heads, threshold, factor)
+                visited += v
+                if not (truth & ~hit[probe]).any():
+                    break
+            else:
+                hit = x @ x.T >= threshold
                 hit[np.arange(n), np.arange(n)] = False
+                visited, scanned = visited + n * n, 1
+            yield pa.RecordBatch.from_pydict({"rep": [None], "links": [0], "comp": [0], "scanned": [scanned], "visited": [visited], "pairs": [n * n]}, schema=schema)
             i, j = np.nonzero(hit)
             keep = i < j
             i, j = i[keep], j[keep]
             # a pair belongs to the smallest cluster that both have, and there to one shard
-            cl = np.full((n, MOST), -1)
+            own = int(t["cluster"][0].as_py())
+            cl = np.full((n, overlap), -1)
             for r, c in enumerate(t["clusters"].to_pylist()):
                 cl[r, : len(c)] = c
-            common = np.full(len(i), np.iinfo(np.int32).max)
-            for u in range(MOST):
-                for w in range(MOST):
-                    same = (cl[i, u] == cl[j, w]) & (cl[i, u] >= 0)
-                    common = np.where(same, np.minimum(common, cl[i, u]), common)
+            cl[cl >= own] = -1
+            earlier = np.zeros(len(i), bool)
+            for u in range(overlap):
+                one = cl[i, u]
+                earlier |= (one >= 0) & (cl[j] == one[:, None]).any(1)
             lo, hi, parts = (int(t[c][0].as_py()) for c in ("lo", "hi", "parts"))
             within = part[i] == part[j]
             # a part's own pairs belong to its shard with the next part (the last part's to that before)
             home = np.where(part[i] < parts - 1, part[i], part[i] - 1)
-            mine = (common == int(t["cluster"][0].as_py())) & (~within | (parts == 1) | (home == lo) & (np.maximum(part[i], home + 1) == hi))
+            mine = ~earlier & (~within | (parts == 1) | (home == lo) & (np.maximum(part[i], home + 1) == hi))
             i, j = i[mine], j[mine]
             if not len(i):
                 continue
@@ -253,15 +347,11 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
                     break
                 comp = low
             some = np.flatnonzero(links > 0)
-            yield pa.RecordBatch.from_pydict({"rep": rep[some], "links": links[some].astype(np.int64), "comp": rep[comp[some]]})
+            none = np.zeros(len(some), np.int64)
+            yield pa.RecordBatch.from_pydict({"rep": rep[some], "links": links[some].astype(np.int64), "comp": rep[comp[some]], "scanned": none, "visited": none, "pairs": none}, schema=schema)
 
-    found = materialize(united.mapInArrow(search, "rep long, links long, comp long"), "found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("rep").alias("a"), F.col("comp").alias("b")))
-    result = back.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    result = result.select("vec_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
-    out = rows.select("vec_id").join(result, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    schema = pa.schema([(c, pa.int64()) for c in ("rep", "links", "comp", "scanned", "visited", "pairs")])
+    return materialize(united.mapInArrow(search, ", ".join(f"{c} long" for c in schema.names)), "found")
 
 
 def _shards(batches, key: list[str]):

@@ -344,3 +344,52 @@ def test_near_dedup(spark, monkeypatch):
     for b in bad[:-1]:
         assert got[b[0]] == (0, b[0], True)
     assert near_dedup.near_components(vectors(spark, [])).count() == 0
+
+
+def threshold_groups(seed, groups, members, dim=64):
+    """Vectors of groups whose members lie around cosine 0.98 of each other."""
+    rng = np.random.default_rng(seed)
+    base = near_dedup.unit(rng.normal(size=(groups, dim)))
+    return np.repeat(base, members, axis=0) + rng.normal(size=(groups * members, dim)) * np.sqrt(0.0204 / dim)
+
+
+def links_of(x, threshold=0.98):
+    y = near_dedup.unit(x)
+    s = y @ y.T >= threshold
+    np.fill_diagonal(s, False)
+    return s
+
+
+@pytest.mark.parametrize(("groups", "members"), [(30, 20), (600, 1), (1, 500), (3, 150)])
+def test_range_search_on_the_pruned_graph_alone(groups, members):
+    x = near_dedup.unit(threshold_groups(5, groups, members))
+    n = len(x)
+    lists = near_dedup.robust_prune(x @ x.T)
+    tail, at = np.nonzero(lists >= 0)
+    head = lists[tail, at]
+    pair = np.unique(np.concatenate([tail * n + head, head * n + tail]))
+    hit, visited = near_dedup.range_search(x, np.searchsorted(pair, np.arange(n + 1) * n), pair % n, 0.98, 1 + 1 / near_dedup.ALPHA)
+    assert (hit == links_of(x)).all()
+    assert visited < n * n / 2 or groups < 10
+
+
+def test_near_dedup_of_groups_at_the_threshold(spark):
+    x = threshold_groups(6, 40, 50)
+    report = {}
+    out = near_dedup.near_components(vectors(spark, [(i, v.tolist(), 0, 0, "") for i, v in enumerate(x.astype(np.float32))]), report=report).collect()
+    want = links_of(x.astype(np.float32).astype(float)).sum(1)
+    got = np.array([r.n_links for r in sorted(out, key=lambda r: r.vec_id)])
+    assert want.sum() > 10_000 and (got <= want).all() and got.sum() >= near_dedup.RECALL * want.sum()
+    print(report, got.sum() / want.sum())
+    assert report["recall"] >= near_dedup.RECALL and report["scanned"] * 4 < report["shards"] and report["audited_links"] > 5000
+
+
+def test_overlap_grows_until_the_audit_holds(spark, monkeypatch):
+    """One centroid a vector and many centroids: the first placing loses links, the audit sees it."""
+    monkeypatch.setattr(near_dedup, "OVERLAP", 1)
+    monkeypatch.setattr(near_dedup, "CLUSTER", 4)
+    x = threshold_groups(7, 3, 60, 16)
+    report = {}
+    out = near_dedup.near_components(vectors(spark, [(i, v.tolist(), 0, 0, "") for i, v in enumerate(x.astype(np.float32))]), report=report).collect()
+    want = links_of(x.astype(np.float32).astype(float)).sum()
+    assert report["overlap"] > 1 and report["recall"] >= near_dedup.RECALL and sum(r.n_links for r in out) >= near_dedup.RECALL * want
