@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -145,6 +146,95 @@ def test_waypoints(spark):
     assert named.where("line_id is null").count() == 0
 
 
+def flight(spark, cells=None, nrows=6, ncols=26, size=4.0):
+    cells = cells or raster.grid_cells(spark, nrows, ncols, 0.0, 0.0, size, size)
+    return cells, raster.Axes(0.0, size, ncols, 0.0, size, nrows)
+
+
+def test_waypoints_of_one_leg(spark):
+    cells, axes = flight(spark)
+    flat = raster.uniform_grid(cells, 0.5)
+    path = spark.createDataFrame([(0, 0.0, 0.0, 1), (1, 50.0, 0.0, 1)], "seq int, x double, y double, line_id int")
+    at = lambda **how: [r.x for r in planner.generate_waypoints(flat, axes, path, planner.ConstantSpeed(7.0), seconds=2.0, **how).orderBy("seq").collect()]
+    assert at() == [0, 14, 28, 42, 50]
+    assert at(include_vertices=False) == [14, 28, 42]
+    assert at(time_budget=0.0) == [0]
+    assert at(time_budget=4.0) == [0, 14, 28] and at(time_budget=4.1) == [0, 14, 28, 42]
+    assert at(include_vertices=False, time_budget=2.0) == [14]
+    assert at(min_step=20.0) == [0, 20, 40, 50] and at(spacing=(30.0, 40.0)) == [0, 30, 50]
+    for bad in ({"smoothing": 2}, {"altitude": 0.0}, {"min_step": 0.0}, {"spacing": (3.0, 2.0)}, {"sampler": "cubic"}):
+        with pytest.raises(ValueError):
+            at(**bad)
+
+
+@pytest.mark.parametrize("vertices", [True, False])
+@pytest.mark.parametrize("budget", [None, 35.0])
+@pytest.mark.parametrize("curved", [False, True])
+def test_waypoints_against_one_walk_of_the_whole_path(spark, vertices, budget, curved):
+    """A single loop over the path that keeps the time, with its own sampling."""
+    cells, axes = flight(spark)
+    surface = raster.gaussian_grid(cells, [(41.0, 9.0), (80.0, 14.0)], [9.0, 5.0], [1.0, 0.6]).persist()
+    z = {(r.row, r.col): r.z for r in surface.collect()}
+    lo, hi = min(z.values()), max(z.values())
+    corners = [(0.0, 3.0), (97.0, 3.0), (97.0, 11.0), (97.0, 11.0), (2.0, 17.0), (2.0, 17.3)]
+
+    def dens(x, y):
+        c, r = min(max(x / 4, 0), 25), min(max(y / 4, 0), 5)
+        total = 0.0
+        for i in range(6):
+            for j in range(26):
+                total += max(0.0, 1 - abs(r - i)) * max(0.0, 1 - abs(c - j)) * z[i, j]
+        return total
+
+    def bends(x, y, ux, uy):
+        g = ((dens(x + 2, y) - dens(x - 2, y)) ** 2 + (dens(x, y + 2) - dens(x, y - 2)) ** 2) ** 0.5 / 4
+        return g, abs(dens(x + 2 * ux, y + 2 * uy) - 2 * dens(x, y) + dens(x - 2 * ux, y - 2 * uy)) / 4
+
+    flown = lambda v: round(v / 0.25) * 0.25
+    speed = lambda x, y: 8 - 6 * (dens(x, y) - lo) / (hi - lo)
+    legs = [(p, q, ((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2) ** 0.5) for p, q in itertools.pairwise(corners)]
+    legs = [(p, q, n, (q[0] - p[0]) / n, (q[1] - p[1]) / n) for p, q, n in legs if n]
+    probes = []
+    for p, _, n, ux, uy in legs if curved else []:
+        m = min(128, max(32, int(np.ceil(n / 3))))
+        probes += [bends(p[0] + ux * n * k / m, p[1] + uy * n * k / m, ux, uy) for k in range(m + 1)]
+    g0, k0 = np.median(np.array(probes), axis=0) if curved else (1, 1)
+
+    def step(x, y, v, ux, uy):
+        if not curved:
+            return min(max(v * 1.5, 2.0), 20.0)
+        g, k = bends(x, y, ux, uy)
+        return 3 + 9 / (1 + g / g0 + 1.5 * (k / k0) ** 2)
+
+    want, clock = [], 0.0
+
+    def walk():
+        nonlocal clock
+        for p, _, n, ux, uy in legs:
+            if vertices:
+                want.append((*p, flown(speed(*p))))
+            s = step(*p, speed(*p), ux, uy)
+            s = n if s > n else max(s, 0.5)
+            while True:
+                x, y = p[0] + ux * s, p[1] + uy * s
+                v = flown(speed(x, y))
+                if vertices or s < n - 1e-9 * max(n, 1):
+                    clock += (((x - want[-1][0]) ** 2 + (y - want[-1][1]) ** 2) ** 0.5 if want else s) / v
+                    want.append((x, y, v))
+                    if budget is not None and clock >= budget:
+                        return
+                if s >= n:
+                    break
+                s += min(max(step(x, y, v, ux, uy), 0.5), n - s)
+
+    walk()
+    path = spark.createDataFrame([(i, *c, 1) for i, c in enumerate(corners)], "seq int, x double, y double, line_id int")
+    strategy = planner.CurvatureGuidedSpeed(smin=3.0, smax=12.0) if curved else planner.DensityGuidedSpeed()
+    got = planner.generate_waypoints(surface, axes, path, strategy, seconds=1.5, quantum=0.25, include_vertices=vertices, time_budget=budget).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(len(got)))
+    assert [(r.x, r.y, r.speed) for r in got] == [pytest.approx(w, abs=1e-6) for w in want]
+
+
 def test_colours(spark):
     df = spark.createDataFrame([(255, 255, 255), (0, 0, 0), (255, 0, 0)], "r int, g int, b int")
     L, a, b = X.lab(F.col("r"), F.col("g"), F.col("b"))
