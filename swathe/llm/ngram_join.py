@@ -16,6 +16,9 @@ their sets' Jaccard similarity reaches the threshold. The plan:
    on whole sets. Each step takes only tokens whose parts lie in several components, there only
    parts outside the largest one, and all steps but the last pair them with a few pivots of
    their token (linear). Tokens that are hot in a join are dealt to several places.
+5. Whole sets travel only for pairs that a bitmap filter leaves. A set's bitmap has the parity of its
+   shingles at two to four places for each shingle; two bitmaps differ at no more places than the
+   sets have shingles apart, so no link is lost, and most other pairs go at a 32nd of the bytes.
 
 Edge cases: null or empty texts and texts without words have an empty set and link with nothing;
 with fewer than k words the whole sequence is the one shingle. Rows that repeat a doc_id count as
@@ -101,6 +104,22 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """For each value of the low bits, whether an odd number of the set's hashes have it."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """At how many places two bitmaps differ: at most the size of the sets' symmetric difference. The
+    longer one is folded, as its upper half has the places of the lower half by one more bit."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.unpackbits(x ^ y).sum())
+
+
 def fitting(token: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which rows have another row of their token whose size and position still allow a link. Rows
     are sorted by token; in runs of over LONG_RUN rows every row stays."""
@@ -139,15 +158,16 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
     def signatures(batches):
         ranks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            s1, s2, grp, n = [], [], [], []
+            s1, s2, grp, n, maps = [], [], [], [], []
             for _, sets in _sets(batch, k):
                 for s in sets:
                     n.append(len(s))
+                    maps.append(bitmap(s) if len(s) else None)
                     one, two = signature(s) if len(s) else (None, None)
                     s1.append(one)
                     s2.append(two)
                     grp.append(prefix_of(s, ranks, num, den)[2] if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (s1, s2, grp, n))], ["doc_id", "s1", "s2", "grp", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (s1, s2, grp, n)), pa.array(maps, pa.binary())], ["doc_id", "s1", "s2", "grp", "n", "bits"])
 
     def prefixes(batches):
         ranks = np.frombuffer(shared.value, np.uint8)
@@ -212,7 +232,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
         yield from (b for b in batches if b.num_rows)
         yield None
 
-    named = materialize(docs.mapInArrow(signatures, "doc_id long, s1 long, s2 long, grp long, n long"), "named")
+    named = materialize(docs.mapInArrow(signatures, "doc_id long, s1 long, s2 long, grp long, n long, bits binary"), "named")
     held = named.where("s1 is not null and doc_id is not null")
     where = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("grp").alias("grp"), F.min("n").cast("int").alias("size"), F.count("*").alias("n"))
     where = materialize(where.withColumn("cls", F.monotonically_increasing_id()), "classes")
@@ -244,7 +264,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
         found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         found = materialize(found if done is None else found.join(done, ["a", "b"], "left_anti"), "pairs")
         done = found if done is None else done.union(found)
-        links = verify(found, where, docs, num, den, k)
+        links = verify(found, where, docs, held, num, den, k)
         if comp is not None and links.isEmpty():
             return
         comp = components(links if comp is None else comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links))
@@ -306,9 +326,15 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
-def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
+def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, named: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """The links (a, b) between the nodes of those pairs of classes whose whole sets reach the threshold."""
 
+    def near(batches):
+        for batch in batches:
+            n, maps = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist(), zip(batch.column("ma"), batch.column("mb"), strict=True)
+            differ = [apart(*(np.frombuffer(x.as_buffer(), np.uint8) for x in pair)) for pair in maps]
+            yield batch.select(["a", "b"]).filter(pa.array([(den + num) * d <= (den - num) * size for d, size in zip(differ, n, strict=True)], pa.bool_()))
+
     def sets(batches):
         for batch in batches:
             out, s1, s2 = [], [], []
@@ -318,7 +344,7 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
                     out.append(s.tobytes())
                     s1.append(one)
                     s2.append(two)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())], ["node", "s1", "s2", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())], ["node", "s1", "s2", "m"])
 
     def compare(batches):
         for batch in batches:
@@ -331,18 +357,27 @@ def verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, num: int, den: i
                 at[at == len(q)] = 0
                 both = int((q[at] == p).sum()) if len(q) else 0
                 keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("na"), batch.column("nb")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+            yield pa.RecordBatch.from_arrays([batch.column("nodea"), batch.column("nodeb")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def joined(pairs: DataFrame, rows, tag: str) -> DataFrame:
+        """The pairs with what ``rows(ids)`` has for both classes: node, n where it is there, m."""
+        # a pair's lesser class is mostly a pivot: each side takes only what stands there
+        roles = pairs.select(F.col("a").alias("cls"), F.lit(True).alias("first")).union(pairs.select("b", F.lit(False)))
+        roles = roles.groupBy("cls").agg(F.max("first").alias("first"), F.max(~F.col("first")).alias("second"))
+        wanted = materialize(roles.join(where.select("cls", "node", "s1", "s2"), "cls"), "wanted")
+        # (s1, s2) names a class, so repeated rows of a node are met where the join has put them
+        found = rows(wanted.select(F.col("node").alias("doc_id"))).join(wanted.hint("merge"), ["node", "s1", "s2"]).dropDuplicates(["node", "s1", "s2"])
+        store = materialize(found.drop("s1", "s2"), tag)
+        what = [c for c in store.columns if c not in ("cls", "first", "second")]
+        left, right = (store.where(role).select(F.col("cls").alias(x), *[F.col(c).alias(c + x) for c in what]) for role, x in (("first", "a"), ("second", "b")))
+        return pairs.join(right, "b").join(left, "a")
+
+    none = pairs.sparkSession.createDataFrame([], "a long, b long")
+    if pairs.isEmpty():
+        return none
+    maps = joined(pairs, lambda ids: split_by_ids(named, ids)[0].select(F.col("doc_id").alias("node"), "s1", "s2", "n", F.col("bits").alias("m")), "bitmaps")
+    pairs = materialize(maps.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(near, "a long, b long"), "near")
     if pairs.isEmpty():
-        return pairs.sparkSession.createDataFrame([], "a long, b long")
-    # a pair's lesser class is mostly a pivot: each side takes only the sets that stand there
-    roles = pairs.select(F.col("a").alias("cls"), F.lit(True).alias("first")).union(pairs.select("b", F.lit(False)))
-    roles = roles.groupBy("cls").agg(F.max("first").alias("first"), F.max(~F.col("first")).alias("second"))
-    wanted = materialize(roles.join(where.select("cls", "node", "s1", "s2"), "cls"), "wanted")
-    made = split_by_ids(docs, wanted.select(F.col("node").alias("doc_id")))[0].mapInArrow(sets, "node long, s1 long, s2 long, members binary")
-    # (s1, s2) names a class, so repeated rows of a node are met where the join has put them
-    found = made.join(wanted.hint("merge"), ["node", "s1", "s2"]).dropDuplicates(["node", "s1", "s2"])
-    store = materialize(found.select("cls", "node", "first", "second", "members"), "sets")
-    left = store.where("first").select(F.col("cls").alias("a"), F.col("node").alias("na"), F.col("members").alias("ma"))
-    right = store.where("second").select(F.col("cls").alias("b"), F.col("node").alias("nb"), F.col("members").alias("mb"))
-    return materialize(pairs.join(right, "b").join(left, "a").select("na", "nb", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")
+        return none
+    whole = joined(pairs, lambda ids: split_by_ids(docs, ids)[0].mapInArrow(sets, "node long, s1 long, s2 long, m binary"), "sets")
+    return materialize(whole.select("nodea", "nodeb", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")

@@ -393,3 +393,17 @@ def test_overlap_grows_until_the_audit_holds(spark, monkeypatch):
     out = near_dedup.near_components(vectors(spark, [(i, v.tolist(), 0, 0, "") for i, v in enumerate(x.astype(np.float32))]), report=report).collect()
     want = links_of(x.astype(np.float32).astype(float)).sum()
     assert report["overlap"] > 1 and report["recall"] >= near_dedup.RECALL and sum(r.n_links for r in out) >= near_dedup.RECALL * want
+
+
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        n, m = (int(x) for x in rng.integers(1, 400, 2))
+        both = int(rng.integers(0, min(n, m) + 1))
+        every = rng.integers(0, 1 << 64, n + m, np.uint64, endpoint=False)
+        a, b = every[:n], every[n - both : n + m - both]
+        d = ngram_join.apart(*(np.frombuffer(ngram_join.bitmap(x), np.uint8) for x in (a, b)))
+        assert d <= n + m - 2 * both and (d > 0 or n + m == 2 * both or both or n + m < 20)
+        assert (n + m - 2 * both - d) % 2 == 0
+        if n == m and both == 0 and n > 50:
+            assert 180 * d > 20 * (n + m)
