@@ -24,14 +24,14 @@ def rows_of(col) -> list[np.ndarray | None]:
     return out
 
 
-def packed(df: DataFrame, vec_id: str, embedding: str, *more: str) -> DataFrame:
-    """(vec_id, *more, v, dim, norm2): ``v`` holds the components as doubles, null where the vector
-    takes no part."""
+def packed(df: DataFrame, vec_id: str, embedding: str, *more: str, kind: type = np.float64) -> DataFrame:
+    """(vec_id, *more, v, dim, norm2): ``v`` holds the components as ``kind`` (doubles), null where
+    the vector takes no part."""
 
     def run(batches):
         for batch in batches:
             vecs = rows_of(batch.column("e"))
-            v = pa.array([None if x is None else x.tobytes() for x in vecs], pa.binary())
+            v = pa.array([None if x is None else x.astype(kind).tobytes() for x in vecs], pa.binary())
             dim = pa.array([None if x is None else len(x) for x in vecs], pa.int32())
             norm = pa.array([None if x is None else float(x @ x) for x in vecs], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), v, dim, norm], [*names, "v", "dim", "norm2"])

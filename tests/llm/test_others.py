@@ -42,6 +42,41 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def _shuffled(spark) -> int:
+    return sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+
+
+def test_neighbours_shuffle_rows_once_a_table(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 256)).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(3000)], "vec_id long, embedding array<float>").repartition(4).persist()
+    df.count()
+    before = _shuffled(spark)
+    assert ann.nearest(df, F.lit(True), k=2).count() == 6000
+    assert _shuffled(spark) - before < 5 * x.nbytes
+    df.unpersist()
+
+
+def test_neighbours_in_rounds_and_among_copies(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(400, 8)).astype(np.float32)
+    x[300:] = x[3]
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(399, -1, -1)] + [(350, x[3].tolist())], "vec_id long, embedding array<float>")
+    once = sorted(tuple(r) for r in ann.nearest(df, F.lit(True), k=5).collect())
+    monkeypatch.setattr(ann, "ROUND_BYTES", 30000)
+    monkeypatch.setattr(ann, "QUERIES", 64)
+    assert sorted(tuple(r) for r in ann.nearest(df, F.lit(True), k=5).collect()) == once
+    d = x.astype(float)
+    hit = 0
+    for q in range(400):
+        score = (d * d[q]).sum(1)
+        score[q] = -np.inf
+        want = np.lexsort((np.arange(400), -score))[:5]
+        got = [v for i, _, v, _ in once if i == q]
+        hit += len(set(got) & set(want.tolist()))
+        if q == 3 or q >= 300:
+            assert got == [int(i) for i in (3, *range(300, 400)) if i != q][:5] or score[want[0]] > score[300 if q != 300 else 301]
+    assert hit >= 0.9 * 2000 and len(once) == 2000
+
+
 def test_best_fit_plan():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 65, 500).tolist()
