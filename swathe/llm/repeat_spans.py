@@ -112,6 +112,12 @@ def _runs(batch: pa.RecordBatch, strong: bool = True):
         yield doc[lo:hi], ver[lo:hi], part, anchors(part, offs[lo : hi + 1] - offs[lo], strong)
 
 
+def sketched(key: np.ndarray) -> np.ndarray:
+    """The sketch's bucket of each anchor. Anchors are the smallest of many hashes, so their own upper
+    bits are mostly zero: they are hashed again, or a few buckets would hold all of them."""
+    return (K.mix(key ^ K.PLACE[7]) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def hot_buckets(docs: DataFrame) -> bytes:
     """One byte for each of 2**SKETCH_BITS hash buckets of anchors: 1 if hot."""
 
@@ -120,7 +126,7 @@ def hot_buckets(docs: DataFrame) -> bytes:
         for batch in batches:
             for _, _, _, (_, _, _, _, key, name, _, _) in _runs(batch, strong=False):
                 first = np.unique(K.mix(key ^ (name * U(5))), return_index=True)[1]
-                total += np.bincount((key[first] >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                total += np.bincount(sketched(key[first]), minlength=len(total))
         i = np.flatnonzero(total)
         for a in range(0, len(i), 1 << 16):
             yield pa.RecordBatch.from_pydict({"bucket": i[a : a + (1 << 16)].astype(np.int32), "n": total[i[a : a + (1 << 16)]]})
@@ -151,7 +157,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 if not len(text):
                     continue
                 span = (n << 8) | off
-                is_hot = hot[(key >> U(64 - SKETCH_BITS)).astype(np.int64)] > 0
+                is_hot = hot[sketched(key)] > 0
                 if is_hot.any():  # one row for each window, named by all its bytes
                     i = np.repeat(np.flatnonzero(is_hot), n[is_hot])
                     j = np.arange(len(i)) - np.repeat(np.cumsum(n[is_hot]) - n[is_hot], n[is_hot])

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import prose
+from pyspark.sql import functions as F
 
 from swathe.llm import common, line_dedup, near_dedup, ngram_join, queries, repeat_spans
 from swathe.llm import kernels as K
@@ -132,6 +133,14 @@ def test_hot_anchors_give_the_same_rows(documents, monkeypatch):
     assert run_repeats(documents, rows) == brute_repeats(rows)
 
 
+def test_rare_anchors_are_not_hot(spark, monkeypatch):
+    monkeypatch.setattr(repeat_spans, "HOT_ROWS", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(chr(c) for c in rng.integers(97, 123, 5000))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc long, text string").select("doc", F.lit(0).alias("ver"), "text")
+    assert np.frombuffer(repeat_spans.hot_buckets(docs), np.uint8).sum() < 5
+
+
 def test_repeats_in_a_very_long_text(documents):
     rows = [(1, "x" * 9_000_000), (2, "y" + "x" * 200)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.remove_repeats(documents(rows)).drop("kept").collect()}
