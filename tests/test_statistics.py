@@ -128,3 +128,19 @@ def test_band_histogram_goes_on_above_its_top_bin(spark):
     got = {r.bin: r.cells for r in reports.band_histogram(cells, ["mission"]).collect()}
     width = (10 - 1) / 40  # the top is 10: 1.1 times the 95 % quantile is less
     assert got == {math.floor((n - 1) / width) + 1: counts.count(n) for n in set(counts)} and max(got) == 174
+
+
+def test_components_of_a_long_path_need_few_rounds(spark, monkeypatch):
+    from swathe.operators import graph
+
+    written = []
+
+    def count(df, tag, write=graph.materialize):
+        written.append(tag)
+        assert len(written) < 30
+        return write(df, tag)
+
+    monkeypatch.setattr(graph, "materialize", count)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(301, 300)], "a long, b long")
+    got = {(r.node, r.comp) for r in graph.components(edges).collect()}
+    assert got == {(i, 0) for i in range(201)} | {(300, 300), (301, 300)}
