@@ -29,6 +29,7 @@ columns are ignored, an empty input gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
 SKETCH_BITS = 20
+BLOCK_BITS = 10
 #: A bucket is hot from so many rows on, and from so many times the mean.
 HOT_ROWS, HOT_FACTOR = 2048, 8
 PIECE = 1 << 19
@@ -119,7 +121,9 @@ def sketched(key: np.ndarray) -> np.ndarray:
 
 
 def hot_buckets(docs: DataFrame) -> bytes:
-    """One byte for each of 2**SKETCH_BITS hash buckets of anchors: 1 if hot."""
+    """One byte for each of 2**SKETCH_BITS hash buckets of anchors: 1 if hot. Counts travel as
+    blocks of bytes, as a row for each of so many buckets would fill the driver."""
+    bits = min(BLOCK_BITS, SKETCH_BITS)
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -127,15 +131,25 @@ def hot_buckets(docs: DataFrame) -> bytes:
             for _, _, _, (_, _, _, _, key, name, _, _) in _runs(batch, strong=False):
                 first = np.unique(K.mix(key ^ (name * U(5))), return_index=True)[1]
                 total += np.bincount(sketched(key[first]), minlength=len(total))
-        i = np.flatnonzero(total)
-        for a in range(0, len(i), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"bucket": i[a : a + (1 << 16)].astype(np.int32), "n": total[i[a : a + (1 << 16)]]})
-
-    sums = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()  # 2**SKETCH_BITS rows at most
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    out[got["bucket"][got["n"] > max(HOT_ROWS, HOT_FACTOR * got["n"].sum() / len(out))].to_numpy()] = 1
-    return out.tobytes()
+        if total.any():
+            parts = total.reshape(-1, 1 << bits)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "counts": [zlib.compress(x.tobytes(), 1) for x in parts]})
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}  # 2**SKETCH_BITS numbers at most
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(counts), np.int64)
+                sums[block] = sums[block] + x if block in sums else x
+        if sums:
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": [x.tobytes() for x in sums.values()]})
+
+    parts = docs.mapInArrow(count, "block int, counts binary").repartition(64, "block").mapInArrow(merge, "block int, counts binary")
+    total = np.zeros((1 << (SKETCH_BITS - bits), 1 << bits), np.int64)
+    for row in parts.collect():  # 2**SKETCH_BITS numbers of 8 bytes
+        total[row.block] = np.frombuffer(row.counts, np.int64)
+    n = total.ravel()
+    return (n > max(HOT_ROWS, HOT_FACTOR * n.sum() / len(n))).astype(np.uint8).tobytes()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -141,6 +141,23 @@ def test_rare_anchors_are_not_hot(spark, monkeypatch):
     assert np.frombuffer(repeat_spans.hot_buckets(docs), np.uint8).sum() < 5
 
 
+def test_the_sketch_of_anchors_comes_to_the_driver_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(repeat_spans, "HOT_ROWS", 4)
+    rows = [(i, prose(i, 2000)) for i in range(60)] + [(100 + i, prose(4, 14) + " " + prose(1000 + i, 12)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc long, text string").select("doc", F.lit(0).alias("ver"), "text")
+    total = np.zeros(1 << repeat_spans.SKETCH_BITS, np.int64)
+    for batch in docs.toArrow().to_batches():
+        for _, _, _, (_, _, _, _, key, name, _, _) in repeat_spans._runs(batch, strong=False):
+            total += np.bincount(repeat_spans.sketched(np.array(sorted({(k, n) for k, n in zip(key.tolist(), name.tolist(), strict=True)}), np.uint64)[:, 0]), minlength=len(total))
+    came = []
+    for how in ("collect", "toPandas"):
+        real = getattr(type(docs), how)
+        monkeypatch.setattr(type(docs), how, lambda df, real=real: came.append(len(x := real(df))) or x)
+    hot = np.frombuffer(repeat_spans.hot_buckets(docs), np.uint8)
+    assert hot.sum() > 0 and (hot == (total > max(4, repeat_spans.HOT_FACTOR * total.sum() / len(total)))).all()
+    assert sum(came) <= 1024
+
+
 def test_repeats_in_a_very_long_text(documents):
     rows = [(1, "x" * 9_000_000), (2, "y" + "x" * 200)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.remove_repeats(documents(rows)).drop("kept").collect()}
