@@ -15,7 +15,8 @@ their sets' Jaccard similarity reaches the threshold. The plan:
    expanded: to one member each, to all members of one side, at last to all of both, and verified
    on whole sets. Each step takes only tokens whose parts lie in several components, there only
    parts outside the largest one, and all steps but the last pair them with a few pivots of
-   their token (linear). Tokens that are hot in a join are dealt to several places.
+   their token (linear). A token with no more parts than pivots, of one class each, is done then; the
+   next step does not place it again. Tokens that are hot in a join are dealt to several places.
 5. Whole sets travel only for pairs that a bitmap filter leaves. A set's bitmap has the parity of its
    shingles at two to four places for each shingle; two bitmaps differ at no more places than the
    sets have shingles apart, so no link is lost, and most other pairs go at a 32nd of the bytes.
@@ -277,12 +278,12 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
         pivots = own.groupBy("grp", slot.alias("slot")).agg(F.min("cls").alias("b")).select("grp", "b")
         link(pivots.join(own.select("grp", F.col("cls").alias("a")), "grp").select("a", "b"))
 
-    every = tokens
+    every, budget = tokens, 0
     for step, (slots, whole) in enumerate(((PIVOTS, ""), (MORE_PIVOTS, "a"), (None, "ab"))):
         now = materialize(placed(), "placed")
         parts = now.groupBy("grp", "comp").agg(F.min("cls").alias("some"), F.count("*").alias("size"))
         # a token that has come to lie in one component stays so: only the last step's tokens are looked at
-        spread = every.select("token", "grp", "n", "pos").distinct().join(parts, "grp")
+        spread = materialize(every.select("token", "grp", "n", "pos").distinct().join(parts, "grp"), "parts")
         tops = spread.groupBy("token", "comp").agg(F.count("*").alias("count"), F.sum("size").alias("size")).groupBy("token")
         tops = tops.agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("count").alias("rows"), F.sum("size").alias("classes")).where("comps > 1")
         every = materialize(spread.join(tops, "token").withColumn("major", F.col("comp") == F.col("top")).drop("top", "comps"), "spread")
@@ -290,10 +291,12 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
         work = every.agg(F.sum("size").alias("all"), F.sum(F.when(~F.col("major"), F.col("size").cast("double") * F.col("classes"))).alias("whole")).first()
         if not work.whole:
             break
-        if work.whole <= PIVOTS * work.all:  # no dearer than with pivots: compare all that is left
+        budget = budget or PIVOTS * work.all
+        if work.whole <= budget:  # no dearer than all tokens with pivots: compare all that is left
             slots, whole = None, "ab"
         if slots:
-            slot = F.pmod(F.xxhash64("some", F.lit(step)), F.lit(slots))
+            # where there are no more parts than pivots, each is a pivot
+            slot = F.when(F.col("rows") <= slots, F.col("some")).otherwise(F.pmod(F.xxhash64("some", F.lit(step)), F.lit(slots)))
             few = every.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("grp", "comp", "some", "n", "pos", "major", "rows")).alias("p")).select("token", "p.*")
             many = minor
         else:
@@ -311,6 +314,8 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
         link(met.select(F.col("somea").alias("a"), F.col("someb").alias("b")))
         if not slots:
             break
+        # tokens with so few parts, of one class each, have had all their pairs verified
+        every = every.where((F.col("rows") > slots) | (F.col("classes") > F.col("rows")))
 
     labels = where.select("s1", "s2", "n", "node").join(comp, "node", "left").select("s1", "s2", "n", F.coalesce("comp", "node").alias("comp"))
     hot = hot_ones(labels, named.count()).select("s1", "s2", F.col("comp").alias("known"))

@@ -73,6 +73,29 @@ def test_ngram_join_expands_groups_that_do_not_hang_together(documents, monkeypa
     assert got == expected_components(rows)
 
 
+def test_tokens_compared_whole_are_not_placed_again(documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    written = []
+
+    def recorded(df, tag, real=ngram_join.materialize):
+        out = real(df, tag)
+        written.append((tag, df, out))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", recorded)
+    common = [prose(800 + j, 60 + j) for j in range(12)]
+    rows = [(1000 + 40 * j + i, text) for j, text in enumerate(common) for i in range(30)]
+    rows += [(i, prose(900, 22) + " " + text) for i, text in enumerate(common)]  # a token with many parts
+    rows += [(100 + 2 * i + x, prose(910 + i, 22) + " " + common[x * 2 + i]) for i in range(4) for x in (0, 1)]  # tokens with two
+    got = ngram_join.jaccard_components(documents(rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected_components(rows)
+    spread = [(df, [r["count"] for r in out.groupBy("token").count().collect()]) for tag, df, out in written if tag == "spread"]
+    assert 2 in spread[0][1] and max(spread[0][1]) > 2 and len(spread) > 1
+    assert all(min(sizes, default=9) > 2 for _, sizes in spread[1:])
+    # groups meet their parts once a step
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 for df, _ in spread)
+
+
 def grouped_prefix(real):
     def prefix_of(s, ranks, num, den):
         tokens, classes, _ = real(s, ranks, 0, den)  # whole sets as prefixes, few of them kept
